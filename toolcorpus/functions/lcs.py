@@ -13,7 +13,7 @@ Two interchangeable implementations:
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 
 def lcs_bits(a, b) -> int:
@@ -36,7 +36,7 @@ def lcs_bits(a, b) -> int:
     return n - v.bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_bits(x, y) for x, y in zip(a, b)], dtype="int32")
 
