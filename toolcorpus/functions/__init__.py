@@ -2,11 +2,12 @@
 
 from toolcorpus.functions.text import py_split, py_strip, remove_suffix
 from toolcorpus.functions.rand import stable_hash
+from toolcorpus.functions.rows import keep_where
 from toolcorpus.functions.jsonx import (
     canonical_json, is_json, json_has_keys, json_string, py_json_style,
 )
 
 __all__ = [
-    "py_split", "py_strip", "remove_suffix", "stable_hash", "canonical_json",
+    "keep_where", "py_split", "py_strip", "remove_suffix", "stable_hash", "canonical_json",
     "is_json", "json_has_keys", "json_string", "py_json_style",
 ]

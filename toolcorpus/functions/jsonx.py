@@ -50,4 +50,4 @@ def py_json_style(col: Column) -> Column:
         toks,
         lambda t: F.when(t == ",", F.lit(", ")).when(t == ":", F.lit(": ")).otherwise(t),
     )
-    return F.when(col.isNull(), F.lit(None)).otherwise(F.array_join(spaced, ""))
+    return F.array_join(spaced, "")  # NULL in -> NULL out

@@ -41,6 +41,25 @@ def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_bits(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
+def rouge_l_py(prediction: str | None, reference: str | None) -> float:
+    """Sentence ROUGE-L F1 on ``lower().split()`` tokens (Python's own tokenizer)."""
+    a = (prediction or "").lower().split()
+    b = (reference or "").lower().split()
+    if not a or not b:
+        return 0.0
+    lcs = lcs_bits(a, b)
+    if lcs == 0:
+        return 0.0
+    p, r = lcs / len(a), lcs / len(b)
+    return 2 * p * r / (p + r)
+
+
+@F.pandas_udf(T.DoubleType())
+def rouge_l_text(prediction: pd.Series, reference: pd.Series) -> pd.Series:
+    """Arrow-batched ROUGE-L over raw strings (strings cross Arrow; tokens never do)."""
+    return pd.Series([rouge_l_py(p, r) for p, r in zip(prediction, reference)], dtype="float64")
+
+
 def lcs_length_expr(a: Column, b: Column) -> Column:
     n = F.size(b)
 

@@ -25,3 +25,16 @@ def join_dimension(fact: DataFrame, dim: DataFrame, on, dim_rows: int | None = N
         dim_rows = bounded_rows(dim, limit)
     side = F.broadcast(dim) if dim_rows <= limit else dim
     return fact.join(side, on, how)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin repartition only when the input has fewer partitions than task slots.
+
+    Small inputs (one file = one split) would otherwise run every CPU-heavy
+    row expression in a single task. On a cluster reading many splits this is
+    a no-op and adds no shuffle.
+    """
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(want)

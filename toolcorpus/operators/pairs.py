@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from toolcorpus.functions.calls import parse_call
 from toolcorpus.functions.jsonx import canonical_json, json_has_keys, json_string, py_json_style
 from toolcorpus.functions.rand import stable_hash
+from toolcorpus.functions.rows import keep_where
 from toolcorpus.operators.parse import function_names
 
 # --- fixed values (must equal the original for identical outputs) -------------
@@ -91,17 +92,20 @@ def strategy_candidates(df: DataFrame, seed: int = 42, key: str = "example_id",
     """Adds ``_call`` and one (applicable, rejected) column pair per strategy."""
     call = F.col("_call")
     k = F.col(key)
-    out = df.withColumn("_call", parse_call(F.col(completion), "pairs")).where(F.col("_call").isNotNull())
+    out = df.withColumn("_call", parse_call(F.col(completion), "pairs"))
+    out = keep_where(out, F.col("_call").isNotNull())
     text_map, typed_map = _args_parts(call)
+    avail = F.coalesce(F.col(available), F.array().cast("array<string>"))
     out = out.withColumn("_args", text_map).withColumn("_types", typed_map) \
-             .withColumn("_has_name", json_has_keys(call, "name"))
+             .withColumn("_has_name", json_has_keys(call, "name")) \
+             .withColumn("_name", F.get_json_object(call, "$.name"))
+    out = out.withColumn("_alts", F.filter(avail, lambda f: ~f.eqNullSafe(F.col("_name"))))
     args, types = F.col("_args"), F.col("_types")
     keys = F.map_keys(args)
-    name = F.get_json_object(call, "$.name")
+    name = F.col("_name")
 
     # E3 wrong_function: another available name, arguments kept as they are.
-    avail = F.coalesce(F.col(available), F.array().cast("array<string>"))
-    alts = F.filter(avail, lambda f: ~f.eqNullSafe(name))
+    alts = F.col("_alts")
     pick = F.element_at(alts, (_draw(seed, "wrong_function", k) % F.greatest(F.size(alts), F.lit(1)) + 1).cast("int"))
     wf_ok = F.size(alts) > 0
     wf = _call_json(json_string(pick), _arguments_text(call))
@@ -165,7 +169,7 @@ def build_pairs(df: DataFrame, seed: int = 42, strategy: str | None = None, key:
     rejected = F.coalesce(*[F.when(chosen_s == s, F.col(f"_rej_{s}")) for s in STRATEGIES])
     out = cand.select(key, F.col(prompt).alias("prompt"), F.col(completion).alias("chosen"),
                       rejected.alias("rejected"), chosen_s.alias("rejection_strategy"))
-    return out.where(F.col("rejected").isNotNull())
+    return keep_where(out, F.col("rejected").isNotNull())
 
 
 def pair_examples(corpus: DataFrame, prompt_fn=None) -> DataFrame:

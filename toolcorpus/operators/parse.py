@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from toolcorpus.functions.calls import first_match
 from toolcorpus.functions.jsonx import is_json, json_has_keys
 from toolcorpus.functions.rand import HASH_RANGE, stable_hash
+from toolcorpus.functions.rows import keep_where
 from toolcorpus.functions.text import py_strip, remove_suffix
 
 # --- fixed values: role markers and their roles -------------------------------
@@ -108,8 +110,8 @@ def parse_corpus(raw: DataFrame, call_mode: str = "balanced", calls_only: bool =
 
 
 def keep_with_calls(corpus: DataFrame) -> DataFrame:
-    """B5."""
-    return corpus.where(F.col("has_function_call"))
+    """Rows with at least one call (flag evaluated once, never re-inlined into a pushed filter)."""
+    return keep_where(corpus, F.col("has_function_call"))
 
 
 def explode_turns(corpus: DataFrame) -> DataFrame:
@@ -146,25 +148,35 @@ def split_corpus(df: DataFrame, ratio: float = 0.05, seed: int = 42, mode: str =
         return df.withColumn("split", F.when(cut, "validation").otherwise("train"))
     if mode != "exact":
         raise ValueError(f"unknown split mode {mode!r}")
-    withh = df.withColumn("_h", h)
-    n = withh.count()
+    # Narrow (key, h) projection, persisted for the counting passes only.
+    keyed = df.select(F.col(key).alias("_key"), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        h_star, key_star = _exact_cutoff(keyed, ratio)
+    finally:
+        keyed.unpersist()
+    if h_star is None:
+        return df.withColumn("split", F.lit(key_star))
+    val = (h < F.lit(h_star)) | ((h == F.lit(h_star)) & (F.col(key) <= F.lit(key_star)))
+    return df.withColumn("split", F.when(val, "validation").otherwise("train"))
+
+
+def _exact_cutoff(keyed: DataFrame, ratio: float):
+    """(h*, key*) such that validation = rows with (h, key) <= (h*, key*); exactly ceil(n*ratio) rows."""
+    n = keyed.count()
     k = math.ceil(n * ratio)
     if k <= 0:
-        return withh.withColumn("split", F.lit("train")).drop("_h")
+        return None, "train"
     if k >= n:
-        return withh.withColumn("split", F.lit("validation")).drop("_h")
-    hi = _select_bucket(withh.groupBy(F.shiftright(F.col("_h"), 16).alias("b")).count(), k)
-    bucket, k_in = hi
-    lo = _select_bucket(withh.where(F.shiftright(F.col("_h"), 16) == bucket)
-                        .groupBy((F.col("_h") % 65536).alias("b")).count(), k_in)
-    h_star = bucket * 65536 + lo[0]
-    r = lo[1]  # rows with _h == h_star that still go to validation
-    ties = withh.where(F.col("_h") == h_star).select(key)
-    tie_ids = ties.select(key, F.row_number().over(Window.orderBy(key)).alias("_r")) \
-        .where(F.col("_r") <= r).select(key, F.lit(True).alias("_tie"))
-    out = withh.join(tie_ids, key, "left")
-    val = (F.col("_h") < h_star) | F.coalesce(F.col("_tie"), F.lit(False))
-    return out.withColumn("split", F.when(val, "validation").otherwise("train")).drop("_h", "_tie")
+        return None, "validation"
+    bucket, k_in = _select_bucket(keyed.groupBy(F.shiftright(F.col("_h"), 16).alias("b")).count(), k)
+    lo, r = _select_bucket(keyed.where(F.shiftright(F.col("_h"), 16) == bucket)
+                           .groupBy((F.col("_h") % 65536).alias("b")).count(), k_in)
+    h_star = bucket * 65536 + lo
+    # rows sharing h* are hash collisions (expected ~n/2^32): order them by key
+    ties = keyed.where(F.col("_h") == h_star).select("_key")
+    key_star = ties.select(F.row_number().over(Window.orderBy("_key")).alias("_r"), "_key") \
+        .where(F.col("_r") == r).first()["_key"]
+    return h_star, key_star
 
 
 def _select_bucket(hist: DataFrame, k: int) -> tuple[int, int]:

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from toolcorpus.functions.calls import call_arguments, call_name, parse_call
-from toolcorpus.functions.lcs import rouge_l_from_tokens
+from toolcorpus.functions.lcs import rouge_l_from_tokens, rouge_l_text
 from toolcorpus.functions.text import py_split
 
 RATE_METRICS = ("valid_json_rate", "exact_tool_match_rate", "hallucination_rate")
@@ -49,7 +49,13 @@ def param_precision_recall(pred_args: Column, ref_args: Column) -> tuple[Column,
 
 
 def rouge_l(prediction: Column, reference: Column, method: str = "arrow") -> Column:
-    """sentence ROUGE-L F1 on lower-cased whitespace tokens."""
+    """sentence ROUGE-L F1 on lower-cased whitespace tokens.
+
+    ``arrow`` (default): one Arrow-batched UDF over the raw strings, bit-parallel
+    LCS; ``sql``: JVM higher-order functions, only sensible for short texts.
+    """
+    if method == "arrow":
+        return rouge_l_text(prediction, reference)
     return rouge_l_from_tokens(py_split(F.lower(prediction)), py_split(F.lower(reference)), method)
 
 

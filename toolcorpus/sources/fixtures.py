@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from toolcorpus.operators.joins import join_dimension
+from toolcorpus.operators.joins import join_dimension, spread
 
 DEFAULT_SYSTEM = "You are a helpful assistant with access to the following functions. Use them if required -"
 TOOLS_PER_DIALOGUE = 3
@@ -33,6 +33,25 @@ def _s(c):
     return c.cast("string")
 
 
+_DIMS: dict = {}
+
+
+def tool_dimension(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
+    """(tools, n_tools, windows), built once per session and source and cached.
+
+    The tool dimension is one row per distinct event type; it is reused by
+    every fixture of the same source instead of re-running the distinct,
+    window and count for each query.
+    """
+    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir)
+    if key not in _DIMS:
+        tools = tool_catalog(spark, sf_dir).cache()
+        n_tools = tools.count()
+        windows = tool_windows(tools, n_tools).cache()
+        _DIMS[key] = (tools, n_tools, windows)
+    return _DIMS[key]
+
+
 def tool_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(tool_idx, name, schema_json): one tool per distinct event type, sorted by name."""
     names = _read(spark, sf_dir, "events").select(F.col("event_type").alias("name")) \
@@ -68,9 +87,8 @@ def _call(name, args):
 
 def call_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
     """Events with their tool index and call JSON; also returns the tool count."""
-    tools = tool_catalog(spark, sf_dir)
-    n_tools = tools.count()  # scalar; also the size check for the dimension join
-    ev = _read(spark, sf_dir, "events").select(
+    tools, n_tools, _ = tool_dimension(spark, sf_dir)  # n_tools doubles as the size check
+    ev = spread(_read(spark, sf_dir, "events")).select(
         "event_id", "user_id", F.col("event_type").alias("name"), "value",
         F.get_json_object("props", "$.k").alias("k"))
     ev = join_dimension(ev, tools.select("name", "tool_idx"), "name", n_tools)
@@ -97,8 +115,8 @@ def tool_windows(tools: DataFrame, n_tools: int) -> DataFrame:
 
 def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id, system, chat) rendered from ``conversations`` (+ tools, + calls)."""
-    tools = tool_catalog(spark, sf_dir)
-    ev, n_tools = call_events(spark, sf_dir)
+    _, n_tools, windows = tool_dimension(spark, sf_dir)
+    ev, _ = call_events(spark, sf_dir)
     conv = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     calls = ev.select(F.col("event_id").alias("call_event"), F.col("name").alias("call_name"), "call_json")
     conv = conv.join(calls, calls.call_event == F.col("conv_id") * 10 + F.col("turn"), "left")
@@ -123,7 +141,7 @@ def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(F.filter("lines", lambda x: x["part"] == p), lambda x: x["line"]), "\n")
 
     grouped = grouped.withColumn("residue", F.col("conv_id") % F.lit(n_tools))
-    grouped = join_dimension(grouped, tool_windows(tools, n_tools).select("residue", "schemas"), "residue", n_tools)
+    grouped = join_dimension(grouped, windows.select("residue", "schemas"), "residue", n_tools)
     system = F.concat(
         F.lit("SYSTEM: "), F.coalesce(F.nullif(joined(0), F.lit("")), F.lit(DEFAULT_SYSTEM)),
         F.lit("\n"), F.array_join("schemas", "\n"))
@@ -132,9 +150,9 @@ def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, example_id, prediction, reference, allowed_functions, latency_ms) per event x model."""
-    tools = tool_catalog(spark, sf_dir)
-    ev, n_tools = call_events(spark, sf_dir)
-    allowed = _allowed(ev, tools, n_tools)
+    _, n_tools, windows = tool_dimension(spark, sf_dir)
+    ev, _ = call_events(spark, sf_dir)
+    allowed = _allowed(ev, windows, n_tools)
     e, uid, k, name = F.col("event_id"), _s(F.col("user_id")), F.col("k"), F.col("name")
     bucket = e % 10
     prose = F.concat(F.lit("I could not find a tool for request "), _s(e), F.lit("."))
@@ -163,18 +181,18 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "allowed_functions", F.col("value").alias("latency_ms"))
 
 
-def _allowed(ev: DataFrame, tools: DataFrame, n_tools: int) -> DataFrame:
+def _allowed(ev: DataFrame, windows: DataFrame, n_tools: int) -> DataFrame:
     """Adds ``allowed_functions``: own tool first, then the next tools (mod n)."""
-    win = tool_windows(tools, n_tools).select(F.col("residue").alias("tool_idx"),
+    win = windows.select(F.col("residue").alias("tool_idx"),
                                               F.col("tool_names").alias("allowed_functions"))
     return join_dimension(ev, win, "tool_idx", n_tools)
 
 
 def pair_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id, prompt, completion, available_functions) per event."""
-    tools = tool_catalog(spark, sf_dir)
-    ev, n_tools = call_events(spark, sf_dir)
-    ev = _allowed(ev, tools, n_tools)
+    _, n_tools, windows = tool_dimension(spark, sf_dir)
+    ev, _ = call_events(spark, sf_dir)
+    ev = _allowed(ev, windows, n_tools)
     e = F.col("event_id")
     completion = F.when(e % 11 == 0, F.concat(F.lit("No tool is needed for request "), _s(e), F.lit(".")))\
         .otherwise(F.col("call_json"))
