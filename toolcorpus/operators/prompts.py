@@ -123,41 +123,61 @@ def cap_length(df: DataFrame, col: str, max_tokens: int, out: str | None = None)
                          .otherwise(F.col(col)))
 
 
+def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
+    """First-fit bin packing in input order: (bin index, token offset) per item.
+
+    A max segment tree over the bins' free space finds the leftmost bin that
+    fits in O(log bins); an item longer than ``capacity`` gets a bin of its own.
+    """
+    size = 1
+    while size < max(1, len(lengths)):
+        size *= 2
+    tree = [-1] * (2 * size)  # -1: bin not opened yet
+    used: list[int] = []
+    bins, offsets = [], []
+    for n in lengths:
+        if tree[1] >= n:
+            node = 1
+            while node < size:
+                node = 2 * node if tree[2 * node] >= n else 2 * node + 1
+            b = node - size
+        else:
+            b = len(used)
+            used.append(0)
+        bins.append(b)
+        offsets.append(used[b])
+        used[b] += n
+        node = b + size
+        tree[node] = max(0, capacity - used[b])
+        node //= 2
+        while node:
+            tree[node] = max(tree[2 * node], tree[2 * node + 1])
+            node //= 2
+    return bins, offsets
+
+
 def pack_sequences(df: DataFrame, max_tokens: int, key: str = "example_id", text: str = "text",
-                   shards: int | None = None, seed: int = 42) -> DataFrame:
+                   rows_per_shard: int = 100_000, seed: int = 42) -> DataFrame:
     """C10 (re-aimed): first-fit bin packing of whitespace-token lengths into bins of ``max_tokens``.
 
-    Rows are spread over ``shards`` hash shards (so no shard holds more than
-    its share, whatever the key skew); each shard packs its rows in ``key``
-    order with ``applyInPandas``. Output: (bin_id, example_id, offset, n_tokens);
-    rows longer than a bin get a bin of their own.
+    Rows are hashed over ``ceil(n / rows_per_shard)`` shards, so each
+    ``applyInPandas`` group holds about ``rows_per_shard`` narrow rows
+    (key, length) whatever the key skew, and grows no larger with the data;
+    each shard packs its rows in ``key`` order. Output:
+    (bin_id, example_id, offset, n_tokens); a row longer than a bin gets its own bin.
     """
     from toolcorpus.functions.rand import stable_hash
 
-    spark = df.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lens = df.select(key, F.size(py_split(F.col(text))).cast("bigint").alias("n_tokens")) \
-             .withColumn("shard", (stable_hash(seed, "pack", F.col(key)) % shards).cast("bigint"))
+    lens = df.select(F.col(key).cast("bigint").alias(key), F.size(py_split(F.col(text))).cast("bigint").alias("n_tokens"))
+    shards = max(1, -(-lens.count() // rows_per_shard))
+    lens = lens.withColumn("shard", (stable_hash(seed, "pack", F.col(key)) % shards).cast("bigint"))
 
-    def first_fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
-        space: list[int] = []
-        bins, offsets = [], []
-        for n in pdf["n_tokens"].tolist():
-            placed = -1
-            for b, free in enumerate(space):
-                if free >= n:
-                    placed = b
-                    break
-            if placed < 0:
-                space.append(max_tokens)
-                placed = len(space) - 1
-            offsets.append(max_tokens - space[placed])
-            space[placed] -= n
-            bins.append(placed)
+        bins, offsets = first_fit(pdf["n_tokens"].tolist(), max_tokens)
         shard = int(pdf["shard"].iloc[0]) if len(pdf) else 0
         return pd.DataFrame({"bin_id": [f"{shard}-{b}" for b in bins], key: pdf[key].tolist(),
                              "offset": offsets, "n_tokens": pdf["n_tokens"].tolist()})
 
     return lens.groupBy("shard").applyInPandas(
-        first_fit, f"bin_id string, {key} bigint, offset bigint, n_tokens bigint")
+        pack, f"bin_id string, {key} bigint, offset bigint, n_tokens bigint")
