@@ -128,7 +128,7 @@ def head(df: DataFrame, n: int | None, key: str = "example_id") -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def split_hash(df: DataFrame, ratio: float = 0.05, seed: int = 42, key: str = "example_id") -> Column:
+def split_draw(seed: int = 42, key: str = "example_id") -> Column:
     """Draw used by both split modes: uniform in [0, 2^32), depends on (seed, key) only."""
     return stable_hash(seed, "split", F.col(key))
 
@@ -142,7 +142,7 @@ def split_corpus(df: DataFrame, ratio: float = 0.05, seed: int = 42, mode: str =
     the cut-off is found with two bounded histograms (2^16 buckets each), never
     a global sort or a single-partition window over the data.
     """
-    h = split_hash(df, ratio, seed, key)
+    h = split_draw(seed, key)
     if mode == "hash":
         cut = (h.cast("double") / float(HASH_RANGE)) < F.lit(float(ratio))
         return df.withColumn("split", F.when(cut, "validation").otherwise("train"))
