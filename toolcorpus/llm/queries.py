@@ -25,6 +25,13 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("bigint").alias("formatted_chars"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from toolcorpus.llm.substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from toolcorpus.llm.url_filter import filter_urls
 
@@ -60,4 +67,4 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_url_filter, op4_simhash_dedup, op6_mix_sources, op8_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_url_filter, op4_simhash_dedup, op6_mix_sources, op8_line_dedup, op10_exact_dedup)}
