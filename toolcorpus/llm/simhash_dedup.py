@@ -122,6 +122,7 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rooted = nodes.join(comps, nodes["fp"] == comps["node"], "inner").select("fp", "low", "root")
     lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
     linked = rooted.join(lows, "root").select(F.col("fp"), F.col("component"))
-    low = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id"))
+    # Written, so that the last join reads two plain exchanges and a hot fingerprint can be split.
+    low = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), "simhash-low")
     return base.join(low, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
