@@ -32,8 +32,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, th, spans)``: the merged line intervals ``[first, last]`` that later occurrences cover."""
     wins = materialize(line_windows(docs, id_col, text_col, width), "line-windows")
     at = F.struct(F.col("id").isNull().alias("absent"), F.col("id"), F.col("th"), F.col("first"))
-    firsts = (wins.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("at"))
-              .where(F.col("n") > 1).select("h1", "h2", "at"))
+    # Written, so that the join reads two plain exchanges and a hot window can be split.
+    firsts = materialize(wins.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(at).alias("at"))
+                         .where(F.col("n") > 1).select("h1", "h2", "at"), "line-firsts")
     later = (wins.join(firsts, ["h1", "h2"])
              .where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("th") == F.col("at.th"))
                       & (F.col("first") == F.col("at.first"))))
