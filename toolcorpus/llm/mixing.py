@@ -22,10 +22,10 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, source_co
     for name, w in (weights or {}).items():
         weight = F.when(F.col("src").eqNullSafe(F.lit(name)), F.lit(float(w))).otherwise(weight)
     counts = counts.withColumn("w", weight)
-    sums = counts.agg(F.sum("n").alias("all_n"), F.sum("w").alias("all_w"))
-    whole = F.col("all_n") if total is None else F.lit(int(total))
-    rate = F.when(F.col("all_w") > 0, whole * F.col("w") / (F.col("all_w") * F.col("n"))).otherwise(F.lit(0.0))
-    out = counts.join(F.broadcast(sums)).select("src", rate.alias("rate"))
+    sums = counts.agg(F.sum("n").alias("n"), F.sum("w").alias("w")).first()
+    whole = F.lit(float(sums["n"] or 0) if total is None else float(total))
+    rate = whole * F.col("w") / (F.lit(float(sums["w"])) * F.col("n")) if sums["w"] else F.lit(0.0)
+    out = counts.select("src", rate.alias("rate"))
     out = out.withColumn("pieces", F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE_MEAN).cast("int")))
     out = out.withColumn("mean", F.col("rate") / F.col("pieces"))
     first = F.struct(F.exp(-F.col("mean")).alias("p"), F.array(F.exp(-F.col("mean"))).alias("cdf"))
