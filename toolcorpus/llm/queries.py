@@ -44,6 +44,12 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from toolcorpus.llm.decontaminate import find_contamination
+
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from toolcorpus.llm.mixing import mix_sources
 
@@ -55,16 +61,30 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0, "src2": 0.5}
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from toolcorpus.llm.language_id import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from toolcorpus.llm.line_dedup import line_dedup
 
     return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from toolcorpus.llm.quality_ranking import rank_quality
+
+    return rank_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from toolcorpus.llm.exact_dedup import exact_dedup
 
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_substring_dedup, op3_url_filter, op4_simhash_dedup, op6_mix_sources, op8_line_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_format, op2_substring_dedup, op3_url_filter, op4_simhash_dedup, op5_decontaminate, op6_mix_sources,
+    op7_language_id, op8_line_dedup, op9_quality_ranking, op10_exact_dedup)}
