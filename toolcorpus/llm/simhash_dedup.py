@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from toolcorpus.llm.common import connected_components, materialize
+from toolcorpus.llm.common import connected_components, materialize, packed, text_hash
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
 
@@ -101,6 +101,21 @@ def near_links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
+def _components(docs: DataFrame, id_col: str, text_col: str, width: int, radius: int, seed: int) -> DataFrame:
+    """``(doc_id, th, fp, root, component_id)`` per row; ``root`` names the component, ``th`` the text."""
+    base = materialize(docs.select(F.col(id_col).alias("doc_id"), text_hash(F.col(text_col)).alias("th"),
+                                   fingerprint(F.col(text_col), width, seed).alias("fp")), "simhash")
+    nodes = materialize(base.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+    comps = connected_components(near_links(nodes.select("fp"), radius))
+    rooted = nodes.join(comps, nodes["fp"] == comps["node"], "inner").select("fp", "low", "root")
+    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    linked = rooted.join(lows, "root").select("fp", "root", "component")
+    # Written, so that the last join reads two plain exchanges and a hot fingerprint can be split.
+    low = materialize(nodes.join(linked, "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "low").alias("component_id")), "simhash-low")
+    return base.join(low, "fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
                        radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """``doc_id, fingerprint, component_id`` per row: groups of texts linked at ``radius`` or fewer differing bits.
@@ -116,13 +131,22 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     shares a bucket, see ``near_links``); components are found in rounds
     written to the shared folder.
     """
-    base = materialize(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "simhash")
-    nodes = materialize(base.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    comps = connected_components(near_links(nodes.select("fp"), radius))
-    rooted = nodes.join(comps, nodes["fp"] == comps["node"], "inner").select("fp", "low", "root")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
-    linked = rooted.join(lows, "root").select(F.col("fp"), F.col("component"))
-    # Written, so that the last join reads two plain exchanges and a hot fingerprint can be split.
-    low = materialize(nodes.join(linked, "fp", "left").select("fp", F.coalesce("component", "low").alias("component_id")), "simhash-low")
-    return base.join(low, "fp").select(
+    return _components(docs, id_col, text_col, width, radius, seed).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE,
+                  radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One row of ``docs``, unchanged, for each component of ``simhash_components``.
+
+    The row with the smallest identifier stays (a null one only if there is no
+    other), then the one with the smallest hash of its text; of fully repeated
+    rows one stays. Rows without a word are one component. An empty table gives
+    no rows.
+    """
+    at = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "th")
+    stay = (_components(docs, id_col, text_col, width, radius, seed).groupBy("root").agg(F.min(at).alias("at"))
+            .select(F.col("at.doc_id").alias("id"), F.col("at.th").alias("th")))
+    s, d = stay.alias("s"), packed(docs, id=F.col(id_col), th=text_hash(F.col(text_col))).alias("d")
+    both = d.join(s, F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.th") == F.col("s.th")), "left_semi")
+    return both.groupBy("id", "th").agg(F.first("__row").alias("__row")).select("__row.*")
