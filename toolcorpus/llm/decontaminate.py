@@ -19,6 +19,7 @@ RECALL, AGREEMENT, SAMPLED, WALKS = 0.99, 0.5, 3, 7
 BLOCK_BYTES = 4 << 20
 VOCABULARY = 1 << 18
 LENGTHS = 64
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -29,7 +30,7 @@ def tables_for(recall: float = RECALL, agreement: float = AGREEMENT, sampled: in
 
 def plain(token: str) -> str:
     """A word without case and without marks around it; empty if it has no letter or digit."""
-    token = token.lower()
+    token = token.lower().strip(MARKS)
     if token.isalnum():
         return token
     a, b = 0, len(token)
@@ -43,11 +44,15 @@ def plain(token: str) -> str:
 class Words(dict):
     """Token to the 64-bit hash of its plain word, 0 for none; starts afresh when ``VOCABULARY`` is reached."""
 
-    def __missing__(self, token: str) -> int:
+    def __init__(self):
         import xxhash
 
+        super().__init__()
+        self.digest = xxhash.xxh3_64_intdigest
+
+    def __missing__(self, token: str) -> int:
         word = plain(token)
-        value = self[token] = (xxhash.xxh3_64_intdigest(word.encode()) | 1) if word else 0
+        value = self[token] = (self.digest(word.encode()) | 1) if word else 0
         return value
 
     def of(self, text: str) -> np.ndarray:
@@ -167,11 +172,10 @@ class Items:
             mine = np.flatnonzero(self.gram == size)
             if not len(hit) or len(hit) < self.need[mine].min():
                 continue
-            bits = masks[at]
-            for i in mine:
-                own = hit[(bits >> np.uint64(i)) & np.uint64(1) == 1]
-                n = int(self.lengths[i])
-                if len(own) < max(1, self.need[i]):
+            bits = np.unpackbits(masks[at].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            for i in mine[bits.sum(0)[mine] >= self.need[mine]]:
+                own, n, need = hit[bits[:, i] == 1], int(self.lengths[i]), int(self.need[i])
+                if not (own[need - 1:] - own[:len(own) + 1 - need] <= n - size).any():
                     continue
                 # A window near the text's ends may reach over them by the edits allowed.
                 reach = int(self.most[i])
@@ -181,7 +185,7 @@ class Items:
                 starts = np.arange(-reach, len(doc) + reach - n + 1)
                 lo = starts + reach
                 hi = np.minimum(lo + n - (size - 1), len(total) - 1)
-                starts = starts[total[hi] - total[lo] >= max(1, self.need[i])]
+                starts = starts[total[hi] - total[lo] >= need]
                 if len(starts):
                     yield n, starts
 
@@ -196,10 +200,12 @@ class Items:
         if not owner:
             return []
         owner, begin, size = (np.concatenate(x) for x in (owner, begin, size))
+        order = np.argsort(size, kind="stable")
+        owner, begin, size = owner[order], begin[order], size[order]
         pairs: set[tuple[int, int]] = set()
         spots: dict[tuple[int, int], list[int]] = {}
-        for a in range(0, len(owner), 1 << 14):
-            o, b, s = owner[a:a + (1 << 14)], begin[a:a + (1 << 14)], size[a:a + (1 << 14)]
+        for a in range(0, len(owner), 1 << 12):
+            o, b, s = owner[a:a + (1 << 12)], begin[a:a + (1 << 12)], size[a:a + (1 << 12)]
             flat = np.zeros((len(o), int(s.max())), np.uint64)
             for r, (x, y, n) in enumerate(zip(o.tolist(), b.tolist(), s.tolist(), strict=True)):
                 piece = docs[x][max(0, y):y + n]
@@ -215,17 +221,14 @@ class Items:
         for (x, k), starts in sorted(spots.items()):
             item, best = self.words[k], None
             most = int(math.floor(len(item) * self.max_edits + 1e-9))
-            done = -1
-            for y in sorted(starts):
-                a, b = max(0, y - most), min(len(docs[x]), y + len(item) + most)
-                if b <= done:
-                    continue
+            starts = np.sort(np.array(starts))
+            for part in np.split(starts, np.flatnonzero(np.diff(starts) > len(item)) + 1):
+                a, b = max(0, int(part[0]) - most), min(len(docs[x]), int(part[-1]) + len(item) + most)
                 found = edit_distance_within(item, docs[x][a:b], most)
                 if found and (best is None or found[0] < best[0]):
                     best = found[0], a + found[1]
                     if not found[0]:
                         break
-                done = b
             if best:
                 out.append((x, k, *best))
         return out
