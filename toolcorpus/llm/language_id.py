@@ -17,7 +17,9 @@ SEQUENCES, SEQUENCE_WORDS, SEGMENT_WORDS, STEPS, RATE, DECAY = 1600, 64, 12, 80,
 FEATURE_BITS = 17
 VOCABULARY = 1 << 17
 # Emission values held at once while decoding.
-HELD = 1 << 23
+HELD = 1 << 22
+# Texts split into words at once.
+TOGETHER = 256
 UNKNOWN = "und"
 
 
@@ -182,22 +184,21 @@ class Decoder:
         """Slots of each text's words; -1 for words without a letter."""
         if len(self.slots) > VOCABULARY:
             self.slots, self.rows = {}, self.rows[:0]
-        split = [t.split() if t else [] for t in texts]
-        new = set()
-        for words in split:
-            new.update(words)
-        new = [w for w in new if w not in self.slots]
-        if new:
-            plain = [letters(w) for w in new]
-            real = [p for p in plain if p]
-            at = len(self.rows)
-            for w, p in zip(new, plain, strict=True):
-                self.slots[w] = at if p else -1
-                at += bool(p)
-            if real:
-                self.rows = np.concatenate([self.rows, self.model.emissions(real)])
-        get = self.slots.__getitem__
-        return [np.fromiter(map(get, words), np.int32, len(words)) for words in split]
+        out = []
+        for at in range(0, len(texts), TOGETHER):
+            split = [t.split() if t else [] for t in texts[at:at + TOGETHER]]
+            new = [w for w in set().union(*split) if w not in self.slots]
+            if new:
+                plain = [letters(w) for w in new]
+                slot = len(self.rows)
+                for w, p in zip(new, plain, strict=True):
+                    self.slots[w] = slot if p else -1
+                    slot += bool(p)
+                if slot > len(self.rows):
+                    self.rows = np.concatenate([self.rows, self.model.emissions([p for p in plain if p])])
+            get = self.slots.__getitem__
+            out += [np.fromiter(map(get, words), np.int32, len(words)) for words in split]
+        return out
 
     def shares(self, texts: list[str | None]) -> np.ndarray:
         """Mean posterior of each label over a text's words with letters; zeros if it has none."""

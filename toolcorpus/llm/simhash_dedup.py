@@ -145,8 +145,9 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     no rows.
     """
     at = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "th")
+    key = lambda i, th: F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("~")), th.cast("string"))
     stay = (_components(docs, id_col, text_col, width, radius, seed).groupBy("root").agg(F.min(at).alias("at"))
-            .select(F.col("at.doc_id").alias("id"), F.col("at.th").alias("th")))
-    s, d = stay.alias("s"), packed(docs, id=F.col(id_col), th=text_hash(F.col(text_col))).alias("d")
-    both = d.join(s, F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.th") == F.col("s.th")), "left_semi")
-    return both.groupBy("id", "th").agg(F.first("__row").alias("__row")).select("__row.*")
+            .select(key(F.col("at.doc_id"), F.col("at.th")).alias("key")))
+    rows = packed(docs, key=key(F.col(id_col), text_hash(F.col(text_col))))
+    # The join deals the rows out by key, so the choice among repeated rows needs no second shuffle.
+    return rows.join(stay, "key", "left_semi").groupBy("key").agg(F.first("__row").alias("__row")).select("__row.*")
