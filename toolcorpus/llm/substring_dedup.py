@@ -23,16 +23,16 @@ class WordHashes(dict):
     """Word to slot, filled on demand; two 64-bit lanes per slot. Starts afresh when ``VOCABULARY`` is reached."""
 
     def __init__(self):
+        import xxhash
+
         super().__init__()
-        self.lanes = np.zeros((2, VOCABULARY), np.uint64)
+        self.lanes, self.digest = np.zeros((2, VOCABULARY), np.uint64), xxhash.xxh3_128_intdigest
 
     def __missing__(self, word: bytes) -> int:
-        import xxhash
-
         at = self[word] = len(self)
         if at >= self.lanes.shape[1]:
             self.lanes = np.concatenate([self.lanes, np.zeros_like(self.lanes)], axis=1)
-        full = xxhash.xxh3_128_intdigest(word)
+        full = self.digest(word)
         self.lanes[0, at], self.lanes[1, at] = full >> 64, full & 0xFFFFFFFFFFFFFFFF
         return at
 
