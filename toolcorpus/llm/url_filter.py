@@ -85,7 +85,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         given = given.groupBy("host").agg(F.sum("t").alias("t"), F.sum("d").alias("d"))
 
         def step(seed, got, lost):
-            kept = F.coalesce(F.col(got), F.lit(0.0)) + F.lit(float(lost or 0.0)) * F.col(seed)
+            back = F.lit(float(lost or 0.0) * whole / sums[seed]) if sums[seed] else F.lit(0.0)
+            kept = F.coalesce(F.col(got), F.lit(0.0)) + back * F.col(seed)
             return F.lit(1 - damping) * F.col(seed) + F.lit(damping) * kept
 
         new = state.join(given, "host", "left").select(
