@@ -48,4 +48,4 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_rows_or_oracle(spark):
     missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert missing == {"pack_sequences"}
+    assert all(name.startswith("op") or name == "pipeline" for name in missing)

@@ -66,10 +66,44 @@ def test_tool_role_and_chatml(spark):
     assert pp == ""
 
 
-def test_pack_sequences_first_fit(spark):
-    bins, offs = PR.first_fit([5, 3, 4, 2, 9, 1], 8)
-    assert bins == [0, 0, 1, 1, 2, 1] and offs == [0, 5, 0, 4, 0, 6]
-    df = spark.createDataFrame([(i, " ".join(["w"] * (i % 7 + 1))) for i in range(50)], "example_id bigint, text string")
-    out = PR.pack_sequences(df, 10, rows_per_shard=20).toPandas()
-    assert len(out) == 50
-    assert (out.groupby("bin_id")["n_tokens"].sum() <= 10).all()
+def test_pack_sequences_joins_and_cuts_per_shard(spark):
+    rows = [(i, " ".join(["w"] * (i % 7 + 1))) for i in range(50)]
+    df = spark.createDataFrame(rows, "example_id bigint, text string")
+    out = PR.pack_sequences(df.repartition(5), 10, shards=3).collect()
+    shards = {}
+    for r in sorted(out, key=lambda r: r["example_id"]):
+        shard, at = map(int, r["bin_id"].split("-"))
+        assert at * 10 + r["offset"] == shards.get(shard, 0) and r["n_tokens"] == r["example_id"] % 7 + 1
+        shards[shard] = shards.get(shard, 0) + r["n_tokens"]
+    assert len(out) == 50 and sum(shards.values()) == sum(i % 7 + 1 for i in range(50))
+    one = {r["example_id"]: r for r in PR.pack_sequences(df.limit(49), 10, shards=3).collect()}
+    assert len([r for r in out if r["example_id"] in one and one[r["example_id"]] == r]) == 49
+
+
+def test_deep_schemas_calls_and_braces_in_strings(spark):
+    deep = 1
+    for k in range(12):
+        deep = {f"k{k}": deep}
+    schema = {"name": "deep", "description": "d } {", "parameters": deep}
+    call = {"name": "deep", "arguments": {"q": "a } b {", "o": deep}}
+    system = "use these\n"
+    chat = "USER: go\nASSISTANT: <functioncall> " + json.dumps(call) + " </s>"
+    plain = {"name": "deep", "description": "d", "parameters": deep}
+    row = B.parse_corpus(raw(spark, [(1, system + json.dumps(plain), chat), (2, json.dumps(schema), chat)])).collect()
+    assert json.loads(row[0]["functions"][0]) == plain
+    assert all([json.loads(c) for c in r["function_calls"]] == [call] for r in row)
+
+
+def test_exact_split_refuses_keys_that_repeat(spark):
+    import pytest
+
+    df = spark.range(0, 100).select((F.col("id") % 10).alias("example_id"))
+    with pytest.raises(ValueError):
+        B.split_corpus(df, 0.05, 42, "exact")
+
+
+def test_capped_text_keeps_its_white_space_and_null_lists_have_a_prompt(spark):
+    df = spark.createDataFrame([(" a\n\nb\tc d", ["x"]), ("a b", None)], "t string, f array<string>")
+    assert [r["t"] for r in PR.cap_length(df, "t", 3).collect()] == [" a\n\nb\tc", "a b"]
+    null = df.where("f is null").select(*[PR.system_prompt(F.col("f"), m).alias(m) for m in ("pretty", "compact")]).first()
+    assert set(null) == {PR.NO_FUNCTIONS_PROMPT}

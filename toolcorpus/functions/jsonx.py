@@ -19,8 +19,13 @@ def _wrapped(col: Column) -> Column:
 
 
 def is_json(col: Column) -> Column:
-    """True when ``json.loads(col)`` would succeed (false for NULL)."""
-    return F.coalesce(F.size(_wrapped(col)) == 1, F.lit(False))
+    """True when ``json.loads(col)`` would succeed (false for NULL).
+
+    A stray ``]`` could close the bracket wrapper early and a stray ``}`` the
+    brace wrapper, but no text does both, so it must read in either.
+    """
+    keyed = F.from_json(F.concat(F.lit('{"v":'), col, F.lit("}")), "map<string,string>", _STRICT)
+    return F.coalesce((F.size(_wrapped(col)) == 1) & (F.size(keyed) == 1), F.lit(False))
 
 
 def canonical_json(col: Column) -> Column:
@@ -40,14 +45,29 @@ def json_has_keys(col: Column, *keys: str) -> Column:
 def json_string(col: Column) -> Column:
     """JSON string literal for a text column (quotes and escapes added)."""
     arr = F.to_json(F.array(col))
-    return arr.substr(F.lit(2), F.length(arr) - F.lit(2))
+    return ascii_escaped(arr.substr(F.lit(2), F.length(arr) - F.lit(2)))
+
+
+def ascii_escaped(col: Column) -> Column:
+    """Non-ASCII characters as ``\\uXXXX`` (UTF-16 units), as ``json.dumps`` writes them."""
+    parts = F.transform(
+        F.regexp_extract_all(col, F.lit(r"(?s)[\x00-\x7F]+|[^\x00-\x7F]"), 0),
+        lambda t: F.when(t.rlike(r"^[\x00-\x7F]"), t).otherwise(
+            F.regexp_replace(F.lower(F.hex(F.encode(t, "UTF-16BE"))), "(.{4})", r"\\u$1")))
+    return F.when(col.rlike(r"[^\x00-\x7F]"), F.array_join(parts, "")).otherwise(col)
 
 
 def py_json_style(col: Column) -> Column:
-    """Re-space a JSON text the way Python's ``json.dumps`` does (``", "`` and ``": "``)."""
+    """Re-space a JSON text the way Python's ``json.dumps`` does (``", "``, ``": "`` and ASCII only)."""
+    return ascii_escaped(spaced_json(col))
+
+
+def spaced_json(col: Column, null: str = "null") -> Column:
+    """``", "`` and ``": "`` between tokens; ``null`` replaces JSON nulls."""
     toks = F.regexp_extract_all(col, F.lit(_TOKEN), 0)
     spaced = F.transform(
         toks,
-        lambda t: F.when(t == ",", F.lit(", ")).when(t == ":", F.lit(": ")).otherwise(t),
+        lambda t: F.when(t == ",", F.lit(", ")).when(t == ":", F.lit(": ")).otherwise(
+            t if null == "null" else F.when(t.startswith('"'), t).otherwise(F.regexp_replace(t, r"\bnull\b", null))),
     )
     return F.array_join(spaced, "")  # NULL in -> NULL out

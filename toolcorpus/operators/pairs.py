@@ -46,11 +46,11 @@ def _value_json(text: Column, typ: Column) -> Column:
 
 
 def _py_float(x: Column) -> Column:
-    """Python ``repr`` of a float for the magnitudes produced here (|x| >= 42)."""
-    dec = x.try_cast("decimal(38,10)").cast("string")
-    trimmed = F.regexp_replace(dec, r"0+$", "")
-    fixed = F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
-    return F.coalesce(fixed, x.cast("string"))
+    """Python ``repr`` of a float for the magnitudes produced here (|x| >= 42): shortest digits, exponent from 1e16."""
+    short = x.cast("string")
+    plain = F.regexp_replace(short.try_cast("decimal(38,17)").cast("string"), r"0+$", "")
+    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
+    return F.when(F.abs(x) < 1e16, plain).otherwise(F.regexp_replace(short, r"(?:\.0)?E(\d+)$", "e+$1"))
 
 
 def _corrupt_value(text: Column, typ: Column) -> Column:
@@ -59,7 +59,9 @@ def _corrupt_value(text: Column, typ: Column) -> Column:
     as_int = F.when(text.rlike(_INT_TEXT),
                     (-(F.abs(text.cast("decimal(38,0)")) + PARAM_OFFSET)).cast("string"))
     as_float = _py_float(-(F.abs(text.cast("double")) + float(PARAM_OFFSET)))
-    reversed_list = F.to_json(F.reverse(F.from_json(text, "array<variant>")))
+    texts, kinds = F.from_json(text, "array<string>"), F.from_json(text, "array<variant>")
+    elements = F.transform(kinds, lambda v, i: _value_json(F.get(texts, i), F.schema_of_variant(v)))
+    reversed_list = F.concat(F.lit("["), F.array_join(F.reverse(elements), ", "), F.lit("]"))
     return (
         F.when((typ == "STRING") & (F.length(text) > 3), json_string(F.reverse(text)))
         .when(is_num, F.coalesce(as_int, as_float))
@@ -88,8 +90,8 @@ def _call_json(name_json: Column, args_json: Column) -> Column:
 
 
 def strategy_candidates(df: DataFrame, seed: int = 42, key: str = "example_id",
-                        completion: str = "completion", available: str = "available_functions") -> DataFrame:
-    """Adds ``_call`` and one (applicable, rejected) column pair per strategy."""
+                        completion: str = "completion", available: str = "available_functions") -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with a call and an ``_ok_<strategy>`` flag each, and the rejection of each strategy, not yet computed."""
     call = F.col("_call")
     k = F.col(key)
     out = df.withColumn("_call", parse_call(F.col(completion), "pairs"))
@@ -131,10 +133,9 @@ def strategy_candidates(df: DataFrame, seed: int = 42, key: str = "example_id",
 
     cand = {"wrong_function": (wf_ok, wf), "wrong_params": (wp_ok, wp),
             "missing_params": (mp_ok, mp), "hallucinate": (F.lit(True), hal)}
-    for s, (ok, rej) in cand.items():
-        out = out.withColumn(f"_ok_{s}", F.coalesce(ok, F.lit(False))) \
-                 .withColumn(f"_rej_{s}", F.when(F.col(f"_ok_{s}"), rej))
-    return out
+    for s, (ok, _) in cand.items():
+        out = out.withColumn(f"_ok_{s}", F.coalesce(ok, F.lit(False)))
+    return out, {s: rej for s, (_, rej) in cand.items()}
 
 
 def build_pairs(df: DataFrame, seed: int = 42, strategy: str | None = None, key: str = "example_id",
@@ -147,7 +148,7 @@ def build_pairs(df: DataFrame, seed: int = 42, strategy: str | None = None, key:
     draws one strategy per example. Forced/drawn strategies that do not apply
     yield no row.
     """
-    cand = strategy_candidates(df, seed, key, completion, available)
+    cand, rejections = strategy_candidates(df, seed, key, completion, available)
     k = F.col(key)
     if strategy is not None:
         if strategy not in STRATEGIES:
@@ -166,7 +167,11 @@ def build_pairs(df: DataFrame, seed: int = 42, strategy: str | None = None, key:
             F.map_from_arrays(F.array(*[F.lit(s) for s in STRATEGIES]),
                               F.array(*[F.col(f"_ok_{s}") for s in STRATEGIES])), o["s"]))
         chosen_s = F.try_element_at(applicable, F.lit(1)).getField("s")
-    rejected = F.coalesce(*[F.when(chosen_s == s, F.col(f"_rej_{s}")) for s in STRATEGIES])
+    # The strategy is chosen first, so only its rejection is built.
+    cand = cand.withColumn("_chosen", chosen_s)
+    chosen_s, rejected = F.col("_chosen"), F.lit(None).cast("string")
+    for s in STRATEGIES:
+        rejected = F.when((chosen_s == s) & F.col(f"_ok_{s}"), rejections[s]).otherwise(rejected)
     out = cand.select(key, F.col(prompt).alias("prompt"), F.col(completion).alias("chosen"),
                       rejected.alias("rejected"), chosen_s.alias("rejection_strategy"))
     return keep_where(out, F.col("rejected").isNotNull())
@@ -182,7 +187,7 @@ def pair_examples(corpus: DataFrame, prompt_fn=None) -> DataFrame:
     from toolcorpus.operators.prompts import pair_prompt
 
     prompt_fn = prompt_fn or pair_prompt
-    rows = corpus.where(F.size("function_calls") > 0)
+    rows = keep_where(corpus, F.size("function_calls") > 0)
     return rows.select(
         "example_id",
         prompt_fn(F.col("functions"), F.col("turns")).alias("prompt"),

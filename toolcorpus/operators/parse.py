@@ -7,6 +7,7 @@ import math
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from toolcorpus.functions.braces import tagged_objects, top_level_objects
 from toolcorpus.functions.calls import first_match
 from toolcorpus.functions.jsonx import is_json, json_has_keys
 from toolcorpus.functions.rand import HASH_RANGE, stable_hash
@@ -19,26 +20,12 @@ END_OF_TURN = "</s>"
 CALL_TAG = "<functioncall>"
 # ------------------------------------------------------------------------------
 
-SCHEMA_DEPTH = 8
 TURN_TYPE = "array<struct<role:string,content:string>>"
 
 
-def balanced_object_pattern(depth: int = SCHEMA_DEPTH) -> str:
-    """Regex for a brace-balanced ``{...}`` nested at most ``depth`` levels.
-
-    Possessive quantifiers keep Java's matcher from backtracking (linear time,
-    no stack growth on long texts).
-    """
-    pat = r"\{[^{}]*+\}"
-    for _ in range(depth - 1):
-        pat = r"\{(?:[^{}]++|" + pat + r")*+\}"
-    return pat
-
-
-def extract_schemas(system: Column, depth: int = SCHEMA_DEPTH) -> Column:
-    """B1: top-level ``{...}`` objects of the system text that decode with ``name`` and ``description``."""
-    found = F.regexp_extract_all(system, F.lit(balanced_object_pattern(depth)), 0)
-    return F.filter(found, lambda x: json_has_keys(x, "name", "description"))
+def extract_schemas(system: Column) -> Column:
+    """B1: top-level ``{...}`` objects of the system text, of any depth, that decode with ``name`` and ``description``."""
+    return F.filter(top_level_objects(system), lambda x: json_has_keys(x, "name", "description"))
 
 
 def function_names(functions: Column) -> Column:
@@ -67,14 +54,15 @@ def parse_turns(chat: Column) -> Column:
 def extract_calls(turns: Column, mode: str = "balanced") -> Column:
     """First ``<functioncall>`` object per assistant turn, kept when it decodes.
 
-    ``balanced`` takes the whole brace-balanced object (the intent of the
-    original extractor); ``lazy`` stops at the first ``}`` like its regex, so
+    ``balanced`` takes the whole brace-balanced object, braces in strings not
+    counting (the intent of the original extractor); ``lazy`` stops at the first ``}`` like its regex, so
     calls whose arguments are objects fail to decode and are dropped.
     """
-    body = balanced_object_pattern() if mode == "balanced" else r"\{.*?\}"
-    pattern = CALL_TAG + r"\s*(" + body + ")"
-    assistant = F.filter(turns, lambda t: t["role"] == "assistant")
-    found = F.transform(assistant, lambda t: first_match(t["content"], pattern))
+    assistant = F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["content"])
+    if mode == "balanced":
+        found = tagged_objects(assistant, CALL_TAG)
+    else:
+        found = F.transform(assistant, lambda t: first_match(t, CALL_TAG + r"\s*(\{.*?\})"))
     return F.filter(found, lambda c: is_json(c))
 
 
@@ -148,6 +136,9 @@ def split_corpus(df: DataFrame, ratio: float = 0.05, seed: int = 42, mode: str =
         return df.withColumn("split", F.when(cut, "validation").otherwise("train"))
     if mode != "exact":
         raise ValueError(f"unknown split mode {mode!r}")
+    # Ties in (h, key) could not be cut exactly, so the key must be unique.
+    if df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
+        raise ValueError(f"an exact split needs unique, non-null values of {key!r}")
     # Narrow (key, h) projection, persisted for the counting passes only.
     keyed = df.select(F.col(key).alias("_key"), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
     try:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from toolcorpus.functions.jsonx import canonical_json, py_json_style
+from toolcorpus.functions.rand import stable_hash
 from toolcorpus.functions.text import py_split
-from toolcorpus.operators.joins import join_dimension
 
 # --- fixed values (literal texts of the original prompts) ---------------------
 NO_FUNCTIONS_PROMPT = "You are a helpful assistant."
@@ -26,16 +27,20 @@ IM_START, IM_END = "<|im_start|>", "<|im_end|>"
 MESSAGE_TYPE = "array<struct<role:string,content:string>>"
 
 
+@lru_cache(maxsize=4096)
+def _pretty(schemas: tuple[str, ...]) -> str:
+    return json.dumps([json.loads(x) for x in schemas], indent=2)
+
+
 @F.pandas_udf(T.StringType())
 def pretty_functions(functions: pd.Series) -> pd.Series:
-    """``json.dumps(list_of_schemas, indent=2)`` - the byte-exact original rendering."""
-    return pd.Series([json.dumps([json.loads(x) for x in arr], indent=2) if arr is not None else None
-                      for arr in functions])
+    """``json.dumps(list_of_schemas, indent=2)``; lists repeat across dialogues and are rendered once per worker."""
+    return pd.Series([None if arr is None else _pretty(tuple(arr)) for arr in functions])
 
 
-def system_prompt(functions: Column, mode: str = "compact") -> Column:
+def system_prompt(functions: Column, mode: str = "pretty") -> Column:
     """C1. ``compact``: schemas as ``json.dumps(functions)`` (pure SQL);
-    ``pretty``: ``json.dumps(functions, indent=2)`` via an Arrow UDF (see ``with_system_prompt``)."""
+    ``pretty`` (default): ``json.dumps(functions, indent=2)`` via an Arrow UDF."""
     if mode == "compact":
         body = F.concat(F.lit("["), F.array_join(F.transform(functions, lambda x: py_json_style(canonical_json(x))),
                                                   ", "), F.lit("]"))
@@ -47,18 +52,10 @@ def system_prompt(functions: Column, mode: str = "compact") -> Column:
     return F.when(F.coalesce(F.size(functions), F.lit(0)) <= 0, F.lit(NO_FUNCTIONS_PROMPT)).otherwise(full)
 
 
-def with_system_prompt(df: DataFrame, mode: str = "compact", out: str = "system_prompt",
+def with_system_prompt(df: DataFrame, mode: str = "pretty", out: str = "system_prompt",
                        functions: str = "functions") -> DataFrame:
-    """Adds the system prompt column.
-
-    ``pretty`` renders each *distinct* schema list once with the Arrow UDF and
-    joins it back (broadcast only when the distinct set is proven small;
-    otherwise a shuffle join), since schema lists repeat across dialogues.
-    """
-    if mode != "pretty":
-        return df.withColumn(out, system_prompt(F.col(functions), mode))
-    dim = df.select(functions).distinct().withColumn(out, system_prompt(F.col(functions), "pretty"))
-    return join_dimension(df, dim, functions, None, "left")
+    """Adds the system prompt column; no shuffle in either mode, null lists give the prompt without functions."""
+    return df.withColumn(out, system_prompt(F.col(functions), mode))
 
 
 def to_messages(system: Column, turns: Column) -> Column:
@@ -79,34 +76,34 @@ def render_chatml(messages: Column) -> Column:
     return F.concat(F.array_join(blocks, "\n"), F.lit("\n"))
 
 
-def training_text(functions: Column, turns: Column, mode: str = "compact") -> Column:
+def training_text(functions: Column, turns: Column, mode: str = "pretty") -> Column:
     """C4: ChatML over the system prompt and every turn."""
     return render_chatml(to_messages(system_prompt(functions, mode), turns))
 
 
-def sft_text(corpus: DataFrame, mode: str = "compact") -> DataFrame:
+def sft_text(corpus: DataFrame, mode: str = "pretty") -> DataFrame:
     return corpus.withColumn("text", training_text(F.col("functions"), F.col("turns"), mode))
 
 
-def eval_prompt(functions: Column, turns: Column, mode: str = "compact") -> Column:
+def eval_prompt(functions: Column, turns: Column, mode: str = "pretty") -> Column:
     """Every assistant turn removed (tool turns stay), then C4."""
     return training_text(functions, F.filter(turns, lambda t: t["role"] != "assistant"), mode)
 
 
-def pair_prompt(functions: Column, turns: Column, mode: str = "compact") -> Column:
+def pair_prompt(functions: Column, turns: Column, mode: str = "pretty") -> Column:
     """All turns but the last, then C4; ``""`` when there is at most one turn."""
     n = F.size(turns)
     return F.when(n > 1, training_text(functions, F.slice(turns, F.lit(1), n - 1), mode)).otherwise(F.lit(""))
 
 
-def inference_prompt(user_message: Column, functions: Column, mode: str = "compact") -> Column:
+def inference_prompt(user_message: Column, functions: Column, mode: str = "pretty") -> Column:
     """System + user blocks and an open assistant header."""
     return F.concat(F.lit(IM_START + "system\n"), system_prompt(functions, mode), F.lit(IM_END + "\n"),
                     F.lit(IM_START + "user\n"), user_message, F.lit(IM_END + "\n"),
                     F.lit(IM_START + "assistant\n"))
 
 
-def preview_prompt(user_message: Column, functions: Column, mode: str = "compact") -> Column:
+def preview_prompt(user_message: Column, functions: Column, mode: str = "pretty") -> Column:
     """System, user, a closed empty assistant block, then an open assistant header."""
     return F.concat(F.lit(IM_START + "system\n"), system_prompt(functions, mode), F.lit(IM_END + "\n"),
                     F.lit(IM_START + "user\n"), user_message, F.lit(IM_END + "\n"),
@@ -117,67 +114,26 @@ def cap_length(df: DataFrame, col: str, max_tokens: int, out: str | None = None)
     """C9 (re-aimed): keep the first ``max_tokens`` whitespace tokens; adds ``n_tokens`` and ``truncated``."""
     toks = py_split(F.col(col))
     out = out or col
+    # The text up to the end of the last kept token, its own white space and all.
+    kept = F.regexp_extract(F.col(col), rf"(?sU)^(?:[\s\x{{1c}}-\x{{1f}}]*+[^\s\x{{1c}}-\x{{1f}}]++){{{int(max_tokens)}}}", 0)
     return df.withColumn("n_tokens", F.size(toks).cast("bigint")) \
              .withColumn("truncated", F.col("n_tokens") > max_tokens) \
-             .withColumn(out, F.when(F.col("truncated"), F.array_join(F.slice(toks, 1, max_tokens), " "))
-                         .otherwise(F.col(col)))
-
-
-def first_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int]]:
-    """First-fit bin packing in input order: (bin index, token offset) per item.
-
-    A max segment tree over the bins' free space finds the leftmost bin that
-    fits in O(log bins); an item longer than ``capacity`` gets a bin of its own.
-    """
-    size = 1
-    while size < max(1, len(lengths)):
-        size *= 2
-    tree = [-1] * (2 * size)  # -1: bin not opened yet
-    used: list[int] = []
-    bins, offsets = [], []
-    for n in lengths:
-        if tree[1] >= n:
-            node = 1
-            while node < size:
-                node = 2 * node if tree[2 * node] >= n else 2 * node + 1
-            b = node - size
-        else:
-            b = len(used)
-            used.append(0)
-        bins.append(b)
-        offsets.append(used[b])
-        used[b] += n
-        node = b + size
-        tree[node] = max(0, capacity - used[b])
-        node //= 2
-        while node:
-            tree[node] = max(tree[2 * node], tree[2 * node + 1])
-            node //= 2
-    return bins, offsets
+             .withColumn(out, F.when(F.col("truncated"), kept).otherwise(F.col(col)))
 
 
 def pack_sequences(df: DataFrame, max_tokens: int, key: str = "example_id", text: str = "text",
-                   rows_per_shard: int = 100_000, seed: int = 42) -> DataFrame:
-    """C10 (re-aimed): first-fit bin packing of whitespace-token lengths into bins of ``max_tokens``.
-
-    Rows are hashed over ``ceil(n / rows_per_shard)`` shards, so each
-    ``applyInPandas`` group holds about ``rows_per_shard`` narrow rows
-    (key, length) whatever the key skew, and grows no larger with the data;
-    each shard packs its rows in ``key`` order. Output:
-    (bin_id, example_id, offset, n_tokens); a row longer than a bin gets its own bin.
-    """
-    from toolcorpus.functions.rand import stable_hash
+                   shards: int = 64, seed: int = 42) -> DataFrame:
+    """C10 (re-aimed): texts joined end to end in ``key`` order and cut into bins of ``max_tokens`` whitespace tokens.
 
-    lens = df.select(F.col(key).cast("bigint").alias(key), F.size(py_split(F.col(text))).cast("bigint").alias("n_tokens"))
-    shards = max(1, -(-lens.count() // rows_per_shard))
-    lens = lens.withColumn("shard", (stable_hash(seed, "pack", F.col(key)) % shards).cast("bigint"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        bins, offsets = first_fit(pdf["n_tokens"].tolist(), max_tokens)
-        shard = int(pdf["shard"].iloc[0]) if len(pdf) else 0
-        return pd.DataFrame({"bin_id": [f"{shard}-{b}" for b in bins], key: pdf[key].tolist(),
-                             "offset": offsets, "n_tokens": pdf["n_tokens"].tolist()})
-
-    return lens.groupBy("shard").applyInPandas(
-        pack, f"bin_id string, {key} bigint, offset bigint, n_tokens bigint")
+    Rows are hashed over ``shards`` sequences that are packed on their own; the
+    number is a parameter (raise it with the data), so adding a row changes its
+    own shard only. Output: (bin_id, example_id, offset, n_tokens), where a text
+    starts in ``bin_id`` at ``offset`` and runs over into the next bins.
+    """
+    lens = df.select(F.col(key).cast("bigint").alias(key), F.size(py_split(F.col(text))).cast("bigint").alias("n_tokens"),
+                     (stable_hash(seed, "pack", F.col(key)) % shards).cast("bigint").alias("shard"))
+    before = Window.partitionBy("shard").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
+    return lens.withColumn("start", start).select(
+        F.concat_ws("-", F.col("shard"), F.floor(F.col("start") / max_tokens).cast("bigint")).alias("bin_id"),
+        key, (F.col("start") % max_tokens).alias("offset"), "n_tokens")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from toolcorpus.functions.calls import call_arguments, call_name, parse_call
+from toolcorpus.functions.jsonx import canonical_json, is_json, py_json_style, spaced_json
 from toolcorpus.functions.lcs import rouge_l_from_tokens, rouge_l_text
 from toolcorpus.functions.text import py_split
 
@@ -18,14 +19,21 @@ METRIC_ORDER = ("valid_json_rate", "exact_tool_match_rate", "parameter_f1", "par
 
 
 def reference_call(function_calls: Column) -> Column:
-    """first call as JSON text, ``""`` when there is none."""
-    return F.coalesce(F.try_element_at(function_calls, F.lit(1)), F.lit(""))
+    """first call re-serialised like ``json.dumps``, ``""`` when there is none."""
+    return F.coalesce(py_json_style(canonical_json(F.try_element_at(function_calls, F.lit(1)))), F.lit(""))
 
 
 def param_tokens(args: Column) -> Column:
-    """``str(v).lower().split()`` over argument values (keys ignored); JSON null -> ``none``."""
-    vals = F.map_values(args)
-    return F.flatten(F.transform(vals, lambda v: py_split(F.lower(F.coalesce(v, F.lit("None"))))))
+    """``str(v).lower().split()`` over argument values (keys ignored); JSON null -> ``none``.
+
+    Lists and objects are spaced as Python prints them, so their elements are
+    tokens; quotes stay double on both sides of a comparison.
+    """
+    def printed(v):
+        nested = v.rlike(r"^[\[{]") & is_json(v)
+        return F.when(nested, spaced_json(v, "None")).otherwise(F.coalesce(v, F.lit("None")))
+
+    return F.flatten(F.transform(F.map_values(args), lambda v: py_split(F.lower(printed(v)))))
 
 
 def multiset_overlap(a: Column, b: Column) -> Column:
@@ -36,16 +44,24 @@ def multiset_overlap(a: Column, b: Column) -> Column:
     )
 
 
+def overlap_scores(common: Column, n_pred: Column, n_ref: Column) -> tuple[Column, Column]:
+    """Precision and recall from counts; both sides empty -> (1, 1), one empty -> (0, 0)."""
+    both_empty, one_empty = (n_pred == 0) & (n_ref == 0), (n_pred == 0) | (n_ref == 0)
+
+    def share(of):
+        return F.when(both_empty, 1.0).when(one_empty, 0.0).otherwise(F.try_divide(common.cast("double"), of))
+
+    return share(n_pred), share(n_ref)
+
+
 def param_precision_recall(pred_args: Column, ref_args: Column) -> tuple[Column, Column]:
-    """token precision and recall of argument values; both empty -> (1, 1), one empty -> (0, 0)."""
+    """token precision and recall of argument values.
+
+    As one expression the tokens are built several times; ``score_examples``
+    stages them as columns.
+    """
     p_tok, r_tok = param_tokens(pred_args), param_tokens(ref_args)
-    lp, lr = F.size(p_tok), F.size(r_tok)
-    common = multiset_overlap(p_tok, r_tok).cast("double")
-    both_empty = (lp == 0) & (lr == 0)
-    one_empty = (lp == 0) | (lr == 0)
-    prec = F.when(both_empty, 1.0).when(one_empty, 0.0).otherwise(F.try_divide(common, lp))
-    rec = F.when(both_empty, 1.0).when(one_empty, 0.0).otherwise(F.try_divide(common, lr))
-    return prec, rec
+    return overlap_scores(multiset_overlap(p_tok, r_tok), F.size(p_tok), F.size(r_tok))
 
 
 def rouge_l(prediction: Column, reference: Column, method: str = "arrow") -> Column:
@@ -80,7 +96,11 @@ def score_examples(df: DataFrame, keys=("model", "example_id"), prediction: str
     valid = F.col("_pc").isNotNull()
     pred_name, ref_name = call_name(F.col("_pc")), call_name(F.col("_rc"))
     with_ref = valid & F.col("_rc").isNotNull()
-    p, r = param_precision_recall(call_arguments(F.col("_pc")), call_arguments(F.col("_rc")))
+    # Tokens, then their overlap, are columns of their own: later expressions read them instead of rebuilding them.
+    parsed = parsed.withColumn("_pt", param_tokens(call_arguments(F.col("_pc")))) \
+                   .withColumn("_rt", param_tokens(call_arguments(F.col("_rc"))))
+    parsed = parsed.withColumn("_common", multiset_overlap(F.col("_pt"), F.col("_rt")))
+    p, r = overlap_scores(F.col("_common"), F.size("_pt"), F.size("_rt"))
     halluc = valid & (F.size("_allowed") > 0) & ~F.array_contains("_allowed", pred_name)
     return parsed.select(
         *keys,
@@ -143,39 +163,32 @@ def batch_predict(df: DataFrame, make_predict_fn: Callable[[], Callable[[list[st
                   prompt_col: str = "text", out_col: str = "prediction", batch_size: int = 8) -> DataFrame:
     """batched completion of a prompt column by a caller-supplied model.
 
-    ``make_predict_fn`` is called once per Python worker process (the model is
-    loaded there, not on the driver); prompts stream through in Arrow batches
-    and are handed to the model ``batch_size`` at a time, order kept.
+    ``make_predict_fn`` is called once per Python worker process and kept there
+    (``predict_batch_udf``); prompts go to the model ``batch_size`` at a time in
+    order. A null prompt is an empty one.
     """
-    schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])
-    cache: dict = {}
+    from pyspark.ml.functions import predict_batch_udf
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = cache.get("fn")
-        if fn is None:
-            fn = cache["fn"] = make_predict_fn()
-        for pdf in batches:
-            prompts = pdf[prompt_col].fillna("").tolist()
-            outs: list[str] = []
-            for i in range(0, len(prompts), batch_size):
-                outs.extend(fn(prompts[i:i + batch_size]))
-            yield pdf.assign(**{out_col: outs})
+    def make():
+        fn = make_predict_fn()
+        return lambda prompts: np.array(fn([str(p) for p in prompts]), dtype=object)
 
-    return df.mapInPandas(run, schema)
+    predict = predict_batch_udf(make, return_type=T.StringType(), batch_size=batch_size)
+    return df.withColumn(out_col, predict(F.coalesce(F.col(prompt_col), F.lit(""))))
 
 
 def compare_models(predictions: dict[str, DataFrame], references: DataFrame,
                    key: str = "example_id", lcs_method: str = "arrow") -> DataFrame:
-    """score every model on the same references in one pass.
+    """score every model on all references in one pass.
 
-    Predictions are unioned with a ``model`` column and equi-joined to the
-    references on ``key`` (positional zip in the original: an example without a
-    prediction is not scored, as a shorter list truncates the zip), then scored
-    and aggregated once.
+    Every reference counts for every model: references are repeated per model
+    and left-joined to the predictions on ``key``; a missing prediction is an
+    empty text, so it lowers the rates instead of the number of examples.
     """
     preds = None
     for name, p in predictions.items():
         p = p.select(F.lit(name).alias("model"), key, "prediction")
         preds = p if preds is None else preds.unionByName(p)
-    rows = preds.join(references, key, "inner")
+    every = references.withColumn("model", F.explode(F.array(*[F.lit(n) for n in predictions])))
+    rows = every.join(preds, ["model", key], "left")
     return metrics_report(score_examples(rows, ("model", key), lcs_method=lcs_method))

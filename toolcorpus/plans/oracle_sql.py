@@ -8,10 +8,66 @@ round trip from the source rows the input was rendered from.
 
 from __future__ import annotations
 
-from toolcorpus.functions import calls as C
-from toolcorpus.operators import pairs as E
-from toolcorpus.operators import prompts as PR
-from toolcorpus.sources.fixtures import DEFAULT_SYSTEM
+# --- fixed values, written out here so that a wrong one in the engine shows ----
+DEFAULT_SYSTEM = 'You are a helpful assistant with access to the following functions. Use them if required -'
+TAGGED = r"<functioncall>\s*(\{.*?\})"
+NAME_ARGS = r'(\{"name":\s*"[^"]+",\s*"arguments":\s*\{.*?\}\s*\})'
+FLAT_NAME = r'(\{[^{}]*"name"[^{}]*\})'
+WHOLE = "whole-text"
+PROFILES = {"pairs": (TAGGED, NAME_ARGS, FLAT_NAME), "metrics": (TAGGED, NAME_ARGS, FLAT_NAME, WHOLE),
+            "inference": (NAME_ARGS, FLAT_NAME)}
+NO_FUNCTIONS_PROMPT = "You are a helpful assistant."
+SYSTEM_PREFIX = "You are a helpful assistant that calls functions when appropriate.\nAvailable functions:\n\n"
+CALL_INSTRUCTION = (
+    "\nWhen calling a function respond ONLY with valid JSON in this exact format:\n"
+    '{"name": "<function_name>", "arguments": {<key>: <value>, ...}}\n'
+    "Do not include any explanation or extra text."
+)
+TOOL_PREFIX = "[FUNCTION RESPONSE]: "
+HALLUCINATED_NAMES = (
+    "send_email",
+    "play_music",
+    "control_device",
+    "access_database",
+    "delete_file",
+    "call_contact",
+    "print_document",
+    "take_screenshot",
+)
+HALLUCINATED_ARGUMENTS = '{"query": "example", "target": "user"}'
+STRATEGIES = ("wrong_function", "wrong_params", "missing_params", "hallucinate")
+# One fixture schema as json.dumps(..., indent=2) lays it out inside a list; NAME stands for the tool.
+PRETTY_SCHEMA = """  {
+    "name": "NAME",
+    "description": "Record a NAME event",
+    "parameters": {
+      "type": "object",
+      "properties": {
+        "user": {
+          "type": "string",
+          "description": "User handle"
+        },
+        "k": {
+          "type": "integer",
+          "description": "Event key"
+        },
+        "urgent": {
+          "type": "boolean"
+        },
+        "tags": {
+          "type": "array",
+          "items": {
+            "type": "string"
+          }
+        }
+      },
+      "required": [
+        "user",
+        "k"
+      ]
+    }
+  }"""
+# --------------------------------------------------------------------------------
 
 
 def lit(s: str) -> str:
@@ -39,8 +95,8 @@ def strip(x: str) -> str:
 
 def parse_call(col: str, profile: str) -> str:
     branches = []
-    for p in C.PROFILES[profile]:
-        if p == C.WHOLE:
+    for p in PROFILES[profile]:
+        if p == WHOLE:
             w = strip(col)
             branches.append(f"CASE WHEN {valid(w)} AND json_type({w}) = 'OBJECT' "
                             f"AND list_contains(json_keys({w}), 'name') THEN {w} END")
@@ -185,10 +241,17 @@ def with_fixture(body: str) -> str:
 
 # -- prompt rendering ----------------------------------------------------------
 
-def system_prompt(schemas: str) -> str:
+def system_prompt(names: str) -> str:
+    one = f"replace({lit(PRETTY_SCHEMA)}, 'NAME', n)"
+    body = f"'[' || chr(10) || array_to_string(list_transform({names}, lambda n: {one}), ',' || chr(10)) || chr(10) || ']'"
+    return (f"CASE WHEN len({names}) = 0 THEN {lit(NO_FUNCTIONS_PROMPT)} "
+            f"ELSE {lit(SYSTEM_PREFIX)} || {body} || {lit(CALL_INSTRUCTION)} END")
+
+
+def compact_prompt(schemas: str) -> str:
     body = "'[' || array_to_string(list_transform(" + schemas + ", lambda s: " + py_style("s") + "), ', ') || ']'"
-    return (f"CASE WHEN len({schemas}) = 0 THEN {lit(PR.NO_FUNCTIONS_PROMPT)} "
-            f"ELSE {lit(PR.SYSTEM_PREFIX)} || {body} || {lit(PR.CALL_INSTRUCTION)} END")
+    return (f"CASE WHEN len({schemas}) = 0 THEN {lit(NO_FUNCTIONS_PROMPT)} "
+            f"ELSE {lit(SYSTEM_PREFIX)} || {body} || {lit(CALL_INSTRUCTION)} END")
 
 
 def block(role: str, content: str) -> str:
@@ -201,13 +264,13 @@ def chatml(turn_filter: str, extra_where: str = "") -> str:
 tc_msgs AS (
   SELECT t.example_id, t.turn_idx,
     {block("CASE WHEN t.role = 'tool' THEN 'user' ELSE t.role END",
-           "CASE WHEN t.role = 'tool' THEN " + lit(PR.TOOL_PREFIX) + " || t.content ELSE t.content END")} AS b
+           "CASE WHEN t.role = 'tool' THEN " + lit(TOOL_PREFIX) + " || t.content ELSE t.content END")} AS b
   FROM tc_turns t JOIN tc_corpus c ON c.example_id = t.example_id
   WHERE ({turn_filter}) {extra_where}
 ),
 tc_text AS (
   SELECT c.example_id,
-    {block("'system'", system_prompt("c.schemas"))}
+    {block("'system'", system_prompt("c.tool_names"))}
       || coalesce(chr(10) || (SELECT string_agg(m.b, chr(10) ORDER BY m.turn_idx) FROM tc_msgs m WHERE m.example_id = c.example_id), '')
       || chr(10) AS text
   FROM tc_corpus c
@@ -257,7 +320,8 @@ sp AS (SELECT example_id, CASE WHEN rn <= ceil(n * 0.05) THEN 'validation' ELSE
 ORACLE["split_exact"] = _q(_EXACT + " SELECT example_id, split FROM sp")
 ORACLE["corpus_stats"] = _q(_EXACT + " SELECT split, CAST(count(*) AS BIGINT) AS n_rows FROM sp GROUP BY split")
 
-ORACLE["system_prompt"] = _q(f"x AS (SELECT 1) SELECT example_id, {system_prompt('schemas')} AS system_prompt FROM tc_corpus")
+ORACLE["system_prompt"] = _q(f"x AS (SELECT 1) SELECT example_id, {system_prompt('tool_names')} AS system_prompt FROM tc_corpus")
+ORACLE["system_prompt_compact"] = _q(f"x AS (SELECT 1) SELECT example_id, {compact_prompt('schemas')} AS system_prompt FROM tc_corpus")
 
 ORACLE["chatml_text"] = _q(chatml("true").strip().rstrip(",") + " SELECT example_id, text FROM tc_text")
 ORACLE["eval_prompt"] = _q(chatml("t.role <> 'assistant'") + " SELECT example_id, text FROM tc_text")
@@ -265,7 +329,7 @@ ORACLE["pair_prompt"] = _q(chatml("true", "AND t.turn_idx < c.num_turns - 1")
                            + " SELECT c.example_id, CASE WHEN c.num_turns > 1 THEN x.text ELSE '' END AS prompt"
                            + " FROM tc_corpus c JOIN tc_text x ON x.example_id = c.example_id")
 
-_INF_HEAD = f"'<|im_start|>system' || chr(10) || {system_prompt('c.schemas')} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || t.content || '<|im_end|>' || chr(10)"
+_INF_HEAD = f"'<|im_start|>system' || chr(10) || {system_prompt('c.tool_names')} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || t.content || '<|im_end|>' || chr(10)"
 ORACLE["inference_prompt"] = _q(f"""x AS (SELECT 1)
 SELECT t.example_id, t.turn_idx, {_INF_HEAD} || '<|im_start|>assistant' || chr(10) AS prompt
 FROM tc_turns t JOIN tc_corpus c ON c.example_id = t.example_id WHERE t.role = 'user'""")
@@ -290,14 +354,14 @@ FROM tc_tools""")
 # -- call extraction family (over eval predictions) -----------------------------
 
 ORACLE["extract_call_text"] = _q(f"""x AS (SELECT 1)
-SELECT model, example_id, coalesce({first('prediction', C.TAGGED)}, {first('prediction', C.NAME_ARGS)}) AS call_text
+SELECT model, example_id, coalesce({first('prediction', TAGGED)}, {first('prediction', NAME_ARGS)}) AS call_text
 FROM tc_eval""")
 for _prof in ("pairs", "metrics", "inference"):
     ORACLE[f"parse_call_{_prof}"] = _q(
         f"x AS (SELECT 1) SELECT model, example_id, {parse_call('prediction', _prof)} AS call FROM tc_eval")
 
 ORACLE["extraction_status"] = _q(f"""x AS (SELECT model, example_id,
-  coalesce({first('prediction', C.TAGGED)}, {first('prediction', C.NAME_ARGS)}) AS raw FROM tc_eval)
+  coalesce({first('prediction', TAGGED)}, {first('prediction', NAME_ARGS)}) AS raw FROM tc_eval)
 SELECT model, example_id, CASE WHEN raw IS NULL THEN 'no_call_found' WHEN {valid('raw')} THEN 'valid_call'
   ELSE 'extracted_not_json' END AS status FROM x""")
 
@@ -310,10 +374,19 @@ FROM x""".replace("'{{}}'", "'{}'"))
 
 # -- scoring --------------------------------------------------------------------
 
+def printed(a: str) -> str:
+    """A list or object as str() prints it, but for the quotes: a blank after each comma and colon, None for null."""
+    v = f"json_extract({a}, '$.\"' || kk || '\"')::VARCHAR"
+    tok = r'"(?:[^"\\]|\\.)*"|[,:]|[^",:\s]+'
+    return (f"array_to_string(list_transform(regexp_extract_all({v}, {lit(tok)}), lambda t: CASE WHEN t = ',' THEN ', ' "
+            f"WHEN t = ':' THEN ': ' WHEN t[1] = '\"' THEN t ELSE replace(t, 'null', 'None') END), '')")
+
+
 def _arg_tokens(c: str) -> str:
     a = f"json_extract({c}, '$.arguments')"
     vals = (f"CASE WHEN {c} IS NOT NULL AND json_type({a}) = 'OBJECT' THEN list_transform(json_keys({a}), "
-            f"lambda kk: coalesce(json_extract_string({a}, '$.\"' || kk || '\"'), 'None')) ELSE [] END")
+            f"lambda kk: CASE WHEN json_type({a}, '$.\"' || kk || '\"') IN ('ARRAY', 'OBJECT') "
+            f"THEN {printed(a)} ELSE coalesce(json_extract_string({a}, '$.\"' || kk || '\"'), 'None') END) ELSE [] END")
     return f"flatten(list_transform({vals}, lambda v: {tokens('v')}))"
 
 
@@ -432,11 +505,11 @@ def _pairs_cte() -> str:
     shuffled = f"list_transform(list_sort(list_transform({keys}, lambda kk: {{'h': {h_mp}, 'k': kk}})), lambda s: s.k)"
     kept = f"list_slice({shuffled}, 1, greatest(1, len({keys}) // 2))"
     mp_args = f"'{{' || array_to_string(list_transform({kept}, lambda kk: to_json(kk) || ': ' || {vjson('kk')}), ', ') || '}}'"
-    names = "[" + ", ".join(f"'{n}'" for n in E.HALLUCINATED_NAMES) + "]"
+    names = "[" + ", ".join(f"'{n}'" for n in HALLUCINATED_NAMES) + "]"
     name_j = f"to_json(json_extract_string({call}, '$.name'))::VARCHAR"
     alts = "list_filter(available_functions, lambda f: f IS DISTINCT FROM json_extract_string(c, '$.name'))"
     order = ("list_sort([" + ", ".join("{'h': " + h(_S, "'order'", "example_id::VARCHAR", repr(s)) + ", 's': " + repr(s) + "}"
-                                          for s in E.STRATEGIES) + "])")
+                                          for s in STRATEGIES) + "])")
     has_name = f"list_contains(json_keys({call}), 'name')"
     h_wf = h(_S, "'wrong_function'", "example_id::VARCHAR")
     h_hal = h(_S, "'hallucinate'", "example_id::VARCHAR")
@@ -447,7 +520,7 @@ def _pairs_cte() -> str:
     rej_wf = call_sql(f"to_json(({alts})[{h_wf} % len({alts}) + 1])::VARCHAR", f"coalesce({args}::VARCHAR, '{{}}')")
     rej_wp = call_sql(name_j, wp_args)
     rej_mp = call_sql(name_j, mp_args)
-    rej_hal = call_sql(f"to_json({names}[{h_hal} % 8 + 1])::VARCHAR", lit(E.HALLUCINATED_ARGUMENTS))
+    rej_hal = call_sql(f"to_json({names}[{h_hal} % 8 + 1])::VARCHAR", lit(HALLUCINATED_ARGUMENTS))
     is_obj = f"json_type({args}) = 'OBJECT'"
     return f"""p0 AS (SELECT example_id, prompt, completion, available_functions, {parse_call('completion', 'pairs')} AS c
   FROM tc_pair_input),
@@ -493,11 +566,13 @@ FROM tc_corpus c JOIN tc_text x ON x.example_id = c.example_id WHERE c.num_calls
 
 # -- evaluation sample / batch predict / cap length ------------------------------
 
-ORACLE["reference_calls"] = _q(_EXACT + """ SELECT s.example_id,
+_REFERENCES = (_EXACT + """ SELECT s.example_id,
   coalesce((SELECT k.call FROM tc_calls_of k WHERE k.example_id = s.example_id AND k.call_idx = 0), '') AS reference,
   array_to_string(c.tool_names, ',') AS allowed_functions
 FROM sp s JOIN tc_corpus c ON c.example_id = s.example_id
-WHERE s.split = 'validation' ORDER BY s.example_id LIMIT 1000""")
+WHERE s.split = 'validation'""")
+ORACLE["reference_calls"] = _q(_REFERENCES)
+ORACLE["eval_sample"] = _q(_REFERENCES + " ORDER BY s.example_id LIMIT 1000")
 
 ORACLE["batch_predict"] = _q(_EXACT + """ SELECT s.example_id,
   CASE WHEN len(c.tool_names) > 0 THEN '{"name": "' || c.tool_names[1] || '", "arguments": {}}' ELSE 'no tool' END AS prediction
@@ -506,4 +581,23 @@ FROM sp s JOIN tc_corpus c ON c.example_id = s.example_id WHERE s.split = 'valid
 ORACLE["cap_length"] = _q(chatml("true") + """, tk AS (
   SELECT example_id, text, list_filter(string_split_regex(text, '\\s+'), lambda q: q <> '') AS toks FROM tc_text)
 SELECT example_id, CAST(len(toks) AS BIGINT) AS n_tokens, len(toks) > 64 AS truncated,
-  CASE WHEN len(toks) > 64 THEN array_to_string(list_slice(toks, 1, 64), ' ') ELSE text END AS text FROM tk""")
+  CASE WHEN len(toks) > 64 THEN regexp_extract(text, '^(?:\\s*\\S+){64}') ELSE text END AS text FROM tk""")
+
+ORACLE["pack_sequences"] = _q(chatml("true") + f""", tk AS (
+  SELECT example_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda q: q <> '')) AS BIGINT) AS n_tokens,
+         {h("'42'", "'pack'", "example_id::VARCHAR")} % 64 AS shard FROM tc_text),
+st AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY shard ORDER BY example_id
+         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tk)
+SELECT shard || '-' || (start // 2048) AS bin_id, example_id, CAST(start % 2048 AS BIGINT) AS "offset", n_tokens FROM st""")
+
+_COMPARED = _SCORES.replace("FROM tc_eval\n", "FROM (SELECT model, example_id, CASE WHEN example_id % 13 = 0 THEN '' ELSE prediction END "
+                            "AS prediction, reference, allowed_functions FROM tc_eval)\n")
+ORACLE["compare_models"] = _q(_COMPARED + " SELECT * FROM metrics")
+ORACLE["metrics_wide"] = _q(_SCORES + " SELECT * EXCLUDE (n) FROM metrics")
+
+_DRAWN = "[" + ", ".join(f"'{s}'" for s in STRATEGIES) + "][" + h(_S, "'choice'", "example_id::VARCHAR") + " % 4 + 1]"
+ORACLE["pairs_drawn"] = _q(_PAIRS + f""", drawn AS (SELECT *, {_DRAWN} AS s FROM p1),
+dr AS (SELECT example_id, prompt, completion AS chosen, CASE s WHEN 'wrong_function' THEN CASE WHEN ok_wf THEN rej_wf END
+    WHEN 'wrong_params' THEN CASE WHEN ok_wp THEN rej_wp END WHEN 'missing_params' THEN CASE WHEN ok_mp THEN rej_mp END
+    ELSE rej_hal END AS rejected, s AS rejection_strategy FROM drawn)
+SELECT * FROM dr WHERE rejected IS NOT NULL""")

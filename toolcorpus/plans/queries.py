@@ -74,7 +74,7 @@ def q_corpus_filter(spark, sf):
 
 
 def q_corpus_head(spark, sf):
-    return B.head(corpus(spark, sf), HEAD_ROWS).select(
+    return B.parse_corpus(B.head(FX.raw_dialogues(spark, sf), HEAD_ROWS)).select(
         "example_id", F.col("num_turns").cast("bigint"), "has_function_call")
 
 
@@ -94,6 +94,10 @@ def q_system_prompt(spark, sf):
     return PR.with_system_prompt(corpus(spark, sf)).select("example_id", "system_prompt")
 
 
+def q_system_prompt_compact(spark, sf):
+    return PR.with_system_prompt(corpus(spark, sf), "compact").select("example_id", "system_prompt")
+
+
 def q_chatml_text(spark, sf):
     return PR.sft_text(corpus(spark, sf)).select("example_id", "text")
 
@@ -212,6 +216,22 @@ def _forced(strategy):
     return q
 
 
+def q_pairs_drawn(spark, sf):
+    return E.build_pairs(FX.pair_input(spark, sf), SEED, random_choice=True)
+
+
+def q_compare_models(spark, sf):
+    rows = FX.eval_rows(spark, sf)
+    given = rows.where(F.col("example_id") % 13 != 0)
+    preds = {m: given.where(F.col("model") == m).select("example_id", "prediction") for m in ("base", "sft_lora", "dpo")}
+    refs = rows.where(F.col("model") == "base").select("example_id", "reference", "allowed_functions")
+    return S.compare_models(preds, refs)
+
+
+def q_metrics_wide(spark, sf):
+    return R.metrics_wide(_metrics(spark, sf))
+
+
 def q_pair_distribution(spark, sf):
     return R.pair_distribution(E.build_pairs(FX.pair_input(spark, sf), SEED)) \
         .select("rejection_strategy", "n_pairs", _r6("share"))
@@ -223,11 +243,19 @@ def q_pair_examples(spark, sf):
 
 
 def _validation(spark, sf):
-    return B.head(_split(spark, sf).where(F.col("split") == "validation"), EVAL_SAMPLE)
+    return _split(spark, sf).where(F.col("split") == "validation")
 
 
 def q_reference_calls(spark, sf):
-    v = _validation(spark, sf)
+    return _references(_validation(spark, sf))
+
+
+def q_eval_sample(spark, sf):
+    """The cap is the feature here: the first rows of the validation split."""
+    return _references(B.head(_validation(spark, sf), EVAL_SAMPLE))
+
+
+def _references(v):
     return v.select("example_id", S.reference_call(F.col("function_calls")).alias("reference"),
                     F.array_join("function_names", ",").alias("allowed_functions"))
 
@@ -275,6 +303,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "split_exact": q_split_exact,
     "corpus_stats": q_corpus_stats,
     "system_prompt": q_system_prompt,
+    "system_prompt_compact": q_system_prompt_compact,
     "chatml_text": q_chatml_text,
     "eval_prompt": q_eval_prompt,
     "pair_prompt": q_pair_prompt,
@@ -306,6 +335,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pair_distribution": q_pair_distribution,
     "pair_examples": q_pair_examples,
     "reference_calls": q_reference_calls,
+    "eval_sample": q_eval_sample,
+    "compare_models": q_compare_models,
+    "metrics_wide": q_metrics_wide,
+    "pairs_drawn": q_pairs_drawn,
     "batch_predict": q_batch_predict,
     "cap_length": q_cap_length,
     "pack_sequences": q_pack_sequences,

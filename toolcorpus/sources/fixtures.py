@@ -6,7 +6,7 @@ inputs of every operator are rendered from them with plain Spark expressions
 
 * tool catalogue  - one tool per distinct ``event_type`` (sorted), fixed parameters;
 * call JSON       - per event, arguments from ``user_id``/``props.k``/``event_id``;
-* raw dialogues   - one row per conversation, glaive-style ``system``/``chat`` text
+* raw dialogues   - one row per conversation, role-marked ``system``/``chat`` text
                     with tool schemas and ``<functioncall>`` turns injected;
 * eval rows       - reference call + three stub model predictions per event;
 * pair input      - prompt/completion/available functions per event.
