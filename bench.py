@@ -33,10 +33,7 @@ HEADLINE = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     spark = build_session()
-    # warm-up: JVM/Python workers and the cached five-row tool dimension of this source
-    from toolcorpus.sources.fixtures import tool_dimension
-
-    tool_dimension(spark, sf_dir)
+    # warm-up: JVM and Python workers
     Q.q_sample_calls(spark, sf_dir).write.format("noop").mode("overwrite").save()
     times = {}
     for name, fn in HEADLINE.items():

@@ -46,12 +46,15 @@ def test_report_roundtrip(spark):
 
 def test_experiment_configs(spark):
     doc = {"results": {"sft_lora": {"n": 10, "valid_json_rate": 90.0, "lora_config": {"r": 16, "lora_alpha": 32}},
-                       "dpo": {"n": 10, "dpo_config": {"beta": 0.1}}},
+                       "dpo": {"n": 10, "dpo_config": {"beta": 0.1}, "hardware": "4 cards", "own_section": {"x": [1, 2]}}},
+           "improvements": {"sft": {"rouge_l": "+0.1"}},
            "observations": ["first", "second"]}
     path = tempfile.mkdtemp(prefix="exp-", dir="/tmp") + "/doc.json"
     with open(path, "w") as fh:
         json.dump(doc, fh, indent=2)
     cfg = {(r["model"], r["section"], r["key"]): r["value"] for r in experiment.experiment_configs(spark, path).collect()}
+    assert cfg[("dpo", "", "hardware")] == "4 cards" and cfg[("dpo", "own_section", "x")] == "[1,2]"
+    assert [tuple(r) for r in experiment.experiment_sections(spark, path).collect()] == [("improvements", "sft", '{"rouge_l":"+0.1"}')]
     assert cfg[("sft_lora", "lora_config", "r")] == "16" and cfg[("dpo", "dpo_config", "beta")] == "0.1"
     obs = [r["observation"] for r in experiment.observations(spark, path).orderBy("idx").collect()]
     assert obs == ["first", "second"]

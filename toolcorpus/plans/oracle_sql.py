@@ -601,3 +601,18 @@ dr AS (SELECT example_id, prompt, completion AS chosen, CASE s WHEN 'wrong_funct
     WHEN 'wrong_params' THEN CASE WHEN ok_wp THEN rej_wp END WHEN 'missing_params' THEN CASE WHEN ok_mp THEN rej_mp END
     ELSE rej_hal END AS rejected, s AS rejection_strategy FROM drawn)
 SELECT * FROM dr WHERE rejected IS NOT NULL""")
+
+# -- sources and sinks -----------------------------------------------------------
+
+ORACLE["read_dialogues"] = _q("x AS (SELECT 1) SELECT example_id, system, chat FROM tc_dialogues")
+_TRAIN = f"CASE WHEN {_SPLIT_H}::DOUBLE / 4294967296.0 < 0.05 THEN 'validation' ELSE 'train' END"
+ORACLE["read_corpus"] = _q(f"""x AS (SELECT example_id, {_TRAIN} AS split, CAST(num_turns AS BIGINT) AS num_turns FROM tc_corpus WHERE num_calls > 0)
+SELECT * FROM x WHERE split = 'train'""")
+ORACLE["read_catalog"] = _q("x AS (SELECT 1) SELECT tool_idx AS function_idx, name, 'Record a ' || name || ' event' AS description FROM tc_tools")
+_FEATURES = "'example_id,functions,function_names,turns,function_calls,num_turns,has_function_call,split'"
+ORACLE["read_stats"] = _q(f"""x AS (SELECT {_TRAIN} AS split FROM tc_corpus WHERE num_calls > 0)
+SELECT split, count(*) AS n_rows, {_FEATURES} AS features FROM x GROUP BY split""")
+ORACLE["read_report"] = _q(_SCORES + f" SELECT model, metric, {r6('value')} AS value FROM mlong UNION ALL SELECT model, 'n', n::DOUBLE FROM metrics")
+ORACLE["experiment_configs"] = _q(_SCORES + f""" SELECT model, 'rates' AS section, metric AS key, {r6('value')} AS value
+FROM mlong WHERE metric IN ('valid_json_rate', 'rouge_l') UNION ALL SELECT model, '', 'examples', n::DOUBLE FROM metrics""")
+ORACLE["read_pairs"] = ORACLE["build_pairs"]

@@ -18,7 +18,10 @@ from toolcorpus.operators import prompts as PR
 from toolcorpus.operators import reports as R
 from toolcorpus.operators import scoring as S
 from toolcorpus.operators.extract import extraction_status, to_results
+from toolcorpus.plans.stages import shared_path
 from toolcorpus.sources import catalog as CAT
+from toolcorpus.sources import dialogues as DLG
+from toolcorpus.sources import experiment as EXP
 from toolcorpus.sources import fixtures as FX
 
 SPLIT_RATIO = 0.05
@@ -292,6 +295,57 @@ def q_pack_sequences(spark, sf):
     return PR.pack_sequences(t, 2048)
 
 
+# -- sources and sinks: written to the shared folder, then read back ------------
+
+def q_read_dialogues(spark, sf):
+    path = shared_path(spark, "dialogues")
+    FX.raw_dialogues(spark, sf).write.parquet(path)
+    return DLG.read_dialogues(spark, path)
+
+
+def q_read_corpus(spark, sf):
+    path = shared_path(spark, "corpus")
+    c = B.split_corpus(B.keep_with_calls(corpus(spark, sf)), SPLIT_RATIO, SEED, "hash")
+    DLG.write_corpus(c, path)
+    return DLG.read_corpus(spark, path, "train").select("example_id", "split", F.col("num_turns").cast("bigint"))
+
+
+def q_read_catalog(spark, sf):
+    path = shared_path(spark, "catalog")
+    tools = FX.tool_catalog(spark, sf)  # a dimension: one document, as the format wants
+    doc = tools.agg(F.array_sort(F.collect_list(F.struct("tool_idx", "schema_json"))).alias("t")).select(
+        F.concat(F.lit("["), F.array_join(F.transform("t", lambda x: x["schema_json"]), ",\n"), F.lit("]")).alias("value"))
+    doc.coalesce(1).write.text(path)
+    return CAT.read_catalog(spark, path).select(F.col("function_idx").cast("bigint"), "name", "description")
+
+
+def q_read_stats(spark, sf):
+    path = shared_path(spark, "stats")
+    c = B.split_corpus(B.keep_with_calls(corpus(spark, sf)), SPLIT_RATIO, SEED, "hash")
+    EXP.write_stats(R.corpus_stats(c), c.columns, path)
+    doc = spark.read.schema("splits map<string,bigint>, features array<string>").json(path)
+    return doc.select(F.explode("splits").alias("split", "n_rows"), F.array_join("features", ",").alias("features"))
+
+
+def q_read_report(spark, sf):
+    path = shared_path(spark, "report")
+    EXP.write_report(_metrics(spark, sf), path, "base", "events", 0)
+    return EXP.read_experiment(spark, path).select("model", "metric", _r6("value"))
+
+
+def q_experiment_configs(spark, sf):
+    path = shared_path(spark, "experiment")
+    m = _metrics(spark, sf).select("model", F.struct(F.struct("valid_json_rate", "rouge_l").alias("rates"), F.col("n").alias("examples")).alias("r"))
+    m.agg(F.map_from_entries(F.collect_list(F.struct("model", "r"))).alias("results")).coalesce(1).write.json(path)
+    return EXP.experiment_configs(spark, path).select("model", "section", "key", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+def q_read_pairs(spark, sf):
+    path = shared_path(spark, "pairs")
+    DLG.write_pairs(E.build_pairs(FX.pair_input(spark, sf), SEED), path)
+    return DLG.read_pairs(spark, path)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "parse_turns": q_parse_turns,
     "extract_schemas": q_extract_schemas,
@@ -342,4 +396,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "batch_predict": q_batch_predict,
     "cap_length": q_cap_length,
     "pack_sequences": q_pack_sequences,
+    "read_dialogues": q_read_dialogues,
+    "read_corpus": q_read_corpus,
+    "read_catalog": q_read_catalog,
+    "read_stats": q_read_stats,
+    "read_report": q_read_report,
+    "experiment_configs": q_experiment_configs,
+    "read_pairs": q_read_pairs,
 }

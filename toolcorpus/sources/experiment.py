@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from toolcorpus.operators.scoring import METRIC_ORDER
+from toolcorpus.functions.jsonx import is_json
 
 
 def write_report(metrics: DataFrame, path: str, base_model: str, dataset: str, test_samples: int) -> None:
@@ -21,29 +21,53 @@ def write_report(metrics: DataFrame, path: str, base_model: str, dataset: str, t
     doc.coalesce(1).write.mode("overwrite").json(path)
 
 
+def _document(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document: its top-level keys with their JSON texts, whatever they are."""
+    raw = spark.read.text(path, wholetext=True).where(F.length(F.trim("value")) > 0)
+    return raw.select(F.from_json("value", "map<string,string>").alias("doc"))
+
+
+def _entries(df: DataFrame, text: str, *keep: str, names: tuple[str, str]) -> DataFrame:
+    return df.select(*keep, F.explode(F.from_json(text, "map<string,string>")).alias(*names))
+
+
+def _models(spark: SparkSession, path: str) -> DataFrame:
+    """(model, key, body): every entry of every model's result."""
+    results = _document(spark, path).select(F.col("doc").getItem("results").alias("results"))
+    return _entries(_entries(results, "results", names=("model", "m")), "m", "model", names=("key", "body"))
+
+
 def read_experiment(spark: SparkSession, path: str) -> DataFrame:
     """experiment/report JSON -> long (model, metric, value) over every numeric result metric."""
-    doc = spark.read.option("multiLine", True).json(path)
-    models = doc.select(F.explode(F.from_json(F.to_json("results"), "map<string,string>")).alias("model", "m"))
-    vals = models.select("model", F.explode(F.from_json("m", "map<string,string>")).alias("metric", "v"))
-    return vals.where(F.col("metric").isin(*METRIC_ORDER, "n", "inference_time_s", "throughput_sps")) \
-        .select("model", "metric", F.col("v").cast("double").alias("value"))
+    value = F.expr("try_cast(body AS double)")
+    return _models(spark, path).where(value.isNotNull()).select("model", F.col("key").alias("metric"), value.alias("value"))
 
 
-def experiment_configs(spark: SparkSession, path: str,
-                       sections=("lora_config", "training_config", "params", "dpo_config", "dpo_pairs")) -> DataFrame:
-    """A10: flatten nested config sections -> (model, section, key, value); missing -> absent row.
+def experiment_configs(spark: SparkSession, path: str) -> DataFrame:
+    """A10: (model, section, key, value): every nested object of a model flattened, other values under section ``""``.
 
     Values are kept as JSON text (lists stay lists); a display layer shows ``–`` for absent keys.
     """
-    doc = spark.read.option("multiLine", True).json(path)
-    models = doc.select(F.explode(F.from_json(F.to_json("results"), "map<string,string>")).alias("model", "m"))
-    sec = models.select("model", F.explode(F.from_json("m", "map<string,string>")).alias("section", "body")) \
-        .where(F.col("section").isin(*sections))
-    return sec.select("model", "section", F.explode(F.from_json("body", "map<string,string>")).alias("key", "value"))
+    models = _models(spark, path)
+    nested = F.col("body").startswith("{") & is_json(F.col("body"))
+    inner = _entries(models.where(nested).withColumnRenamed("key", "section"), "body", "model", "section", names=("key", "value"))
+    flat = models.where(~nested | F.col("body").isNull()).select("model", F.lit("").alias("section"), "key", F.col("body").alias("value"))
+    return inner.unionByName(flat)
+
+
+def experiment_sections(spark: SparkSession, path: str) -> DataFrame:
+    """A10: (section, key, value) of every top-level object but the results (improvements, hardware and the like)."""
+    top = _document(spark, path).select(F.explode("doc").alias("section", "body")).where("section <> 'results'")
+    return _entries(top.where(F.col("body").startswith("{")), "body", "section", names=("key", "value"))
 
 
 def observations(spark: SparkSession, path: str) -> DataFrame:
     """A10: the observation list with its position."""
-    doc = spark.read.option("multiLine", True).json(path)
+    doc = _document(spark, path).select(F.from_json(F.col("doc").getItem("observations"), "array<string>").alias("observations"))
     return doc.select(F.posexplode("observations").alias("idx", "observation"))
+
+
+def write_stats(stats: DataFrame, features: list[str], path: str) -> None:
+    """One JSON document {splits{split -> rows}, features[...]}."""
+    doc = stats.agg(F.map_from_entries(F.collect_list(F.struct("split", "n_rows"))).alias("splits"))
+    doc.withColumn("features", F.array(*[F.lit(f) for f in features])).coalesce(1).write.mode("overwrite").json(path)

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from toolcorpus.plans.stages import materialize
 from toolcorpus.operators.joins import join_dimension, spread
 
 DEFAULT_SYSTEM = "You are a helpful assistant with access to the following functions. Use them if required -"
@@ -33,23 +34,11 @@ def _s(c):
     return c.cast("string")
 
 
-_DIMS: dict = {}
-
-
 def tool_dimension(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int, DataFrame]:
-    """(tools, n_tools, windows), built once per session and source and cached.
-
-    The tool dimension is one row per distinct event type; it is reused by
-    every fixture of the same source instead of re-running the distinct,
-    window and count for each query.
-    """
-    key = (id(spark.sparkContext), spark.sparkContext.applicationId, sf_dir)
-    if key not in _DIMS:
-        tools = tool_catalog(spark, sf_dir).cache()
-        n_tools = tools.count()
-        windows = tool_windows(tools, n_tools).cache()
-        _DIMS[key] = (tools, n_tools, windows)
-    return _DIMS[key]
+    """(tools, n_tools, windows); the tools, one row per distinct event type, are written once per call."""
+    tools = materialize(tool_catalog(spark, sf_dir), "tools")
+    n_tools = tools.count()
+    return tools, n_tools, tool_windows(tools, n_tools)
 
 
 def tool_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,16 +74,13 @@ def _call(name, args):
     return F.concat(F.lit('{"name": "'), name, F.lit('", "arguments": '), args, F.lit("}"))
 
 
-def call_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
-    """Events with their tool index and call JSON; also returns the tool count."""
-    tools, n_tools, _ = tool_dimension(spark, sf_dir)  # n_tools doubles as the size check
+def call_events(spark: SparkSession, sf_dir: str, tools: DataFrame, n_tools: int) -> DataFrame:
+    """Events with their tool index and call JSON (``n_tools`` doubles as the size check)."""
     ev = spread(_read(spark, sf_dir, "events")).select(
         "event_id", "user_id", F.col("event_type").alias("name"), "value",
         F.get_json_object("props", "$.k").alias("k"))
     ev = join_dimension(ev, tools.select("name", "tool_idx"), "name", n_tools)
-    ev = ev.withColumn("args_json", _args_json(F.col("event_id"), F.col("user_id"), F.col("k")))
-    ev = ev.withColumn("call_json", _call(F.col("name"), F.col("args_json")))
-    return ev, n_tools
+    return ev.withColumn("call_json", _call(F.col("name"), _args_json(F.col("event_id"), F.col("user_id"), F.col("k"))))
 
 
 def tool_windows(tools: DataFrame, n_tools: int) -> DataFrame:
@@ -115,15 +101,19 @@ def tool_windows(tools: DataFrame, n_tools: int) -> DataFrame:
 
 def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id, system, chat) rendered from ``conversations`` (+ tools, + calls)."""
-    _, n_tools, windows = tool_dimension(spark, sf_dir)
-    ev, _ = call_events(spark, sf_dir)
+    tools, n_tools, windows = tool_dimension(spark, sf_dir)
     conv = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    calls = ev.select(F.col("event_id").alias("call_event"), F.col("name").alias("call_name"), "call_json")
-    conv = conv.join(calls, calls.call_event == F.col("conv_id") * 10 + F.col("turn"), "left")
-    injected = (F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 == 1) \
-        & F.col("call_event").isNotNull()
-    inj_call = F.when(F.col("conv_id") % 2 == 0,
-                      _call(F.col("call_name"), F.lit('"none"'))).otherwise(F.col("call_json"))
+    # Only some assistant turns may hold a call: they alone are joined, to narrow event columns, and rendered after.
+    may = F.coalesce((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 == 1), F.lit(False))
+    events = _read(spark, sf_dir, "events").select(
+        F.col("event_id").alias("call_event"), "user_id", F.col("event_type").alias("call_name"), F.get_json_object("props", "$.k").alias("k"))
+    events = join_dimension(events, tools.select(F.col("name").alias("call_name")), "call_name", n_tools)
+    narrow = conv.where(may).withColumn("call_event", F.col("conv_id") * 10 + F.col("turn")).join(events, "call_event", "left")
+    call = F.when(F.col("conv_id") % 2 == 0, _call(F.col("call_name"), F.lit('"none"'))).otherwise(
+        _call(F.col("call_name"), _args_json(F.col("call_event"), F.col("user_id"), F.col("k"))))
+    conv = narrow.select(*conv.columns, F.when(F.col("call_name").isNotNull(), call).alias("inj_call")).unionByName(
+        conv.where(~may).withColumn("inj_call", F.lit(None).cast("string")))
+    injected, inj_call = F.col("inj_call").isNotNull(), F.col("inj_call")
     line = (
         F.when(F.col("role") == "user", F.concat(F.lit("USER: "), F.col("text")))
         .when(injected, F.concat(F.lit("ASSISTANT: <functioncall> "), inj_call,
@@ -150,8 +140,8 @@ def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, example_id, prediction, reference, allowed_functions, latency_ms) per event x model."""
-    _, n_tools, windows = tool_dimension(spark, sf_dir)
-    ev, _ = call_events(spark, sf_dir)
+    tools, n_tools, windows = tool_dimension(spark, sf_dir)
+    ev = call_events(spark, sf_dir, tools, n_tools)
     allowed = _allowed(ev, windows, n_tools)
     e, uid, k, name = F.col("event_id"), _s(F.col("user_id")), F.col("k"), F.col("name")
     bucket = e % 10
@@ -190,8 +180,8 @@ def _allowed(ev: DataFrame, windows: DataFrame, n_tools: int) -> DataFrame:
 
 def pair_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id, prompt, completion, available_functions) per event."""
-    _, n_tools, windows = tool_dimension(spark, sf_dir)
-    ev, _ = call_events(spark, sf_dir)
+    tools, n_tools, windows = tool_dimension(spark, sf_dir)
+    ev = call_events(spark, sf_dir, tools, n_tools)
     ev = _allowed(ev, windows, n_tools)
     e = F.col("event_id")
     completion = F.when(e % 11 == 0, F.concat(F.lit("No tool is needed for request "), _s(e), F.lit(".")))\
