@@ -1,30 +1,8 @@
-"""Join helpers: broadcast a dimension only behind a checked size bound."""
+"""Partition helper for small inputs. Joins carry no hints: Spark broadcasts a side by its bytes, at plan or run time."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-
-# Rows a dimension may have and still be broadcast to every executor.
-BROADCAST_MAX_ROWS = 200_000
-
-
-def bounded_rows(df: DataFrame, limit: int = BROADCAST_MAX_ROWS) -> int:
-    """Row count of ``df`` capped at ``limit + 1`` (never scans more than needed to decide)."""
-    return df.limit(limit + 1).count()
-
-
-def join_dimension(fact: DataFrame, dim: DataFrame, on, dim_rows: int | None = None,
-                   how: str = "inner", limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Join a fact table with a dimension; broadcast only when the dimension is proven small.
-
-    ``dim_rows`` may be passed when the caller already counted the dimension;
-    otherwise it is measured. Beyond ``limit`` the join stays a shuffle join
-    (sort-merge or AQE-chosen), so the plan still scales when the dimension grows.
-    """
-    if dim_rows is None:
-        dim_rows = bounded_rows(dim, limit)
-    side = F.broadcast(dim) if dim_rows <= limit else dim
-    return fact.join(side, on, how)
+from pyspark.sql import DataFrame
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:

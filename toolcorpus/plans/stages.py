@@ -22,6 +22,9 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     if partition_by:
         w = w.partitionBy(partition_by)
     w.parquet(path)
+    # Intermediate tables go when the driver ends; until then a lost executor can read them again.
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.parquet(path)
 
 

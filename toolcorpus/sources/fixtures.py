@@ -18,8 +18,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from toolcorpus.operators.joins import spread
 from toolcorpus.plans.stages import materialize
-from toolcorpus.operators.joins import join_dimension, spread
 
 DEFAULT_SYSTEM = "You are a helpful assistant with access to the following functions. Use them if required -"
 TOOLS_PER_DIALOGUE = 3
@@ -74,12 +74,12 @@ def _call(name, args):
     return F.concat(F.lit('{"name": "'), name, F.lit('", "arguments": '), args, F.lit("}"))
 
 
-def call_events(spark: SparkSession, sf_dir: str, tools: DataFrame, n_tools: int) -> DataFrame:
-    """Events with their tool index and call JSON (``n_tools`` doubles as the size check)."""
+def call_events(spark: SparkSession, sf_dir: str, tools: DataFrame) -> DataFrame:
+    """Events with their tool index and call JSON."""
     ev = spread(_read(spark, sf_dir, "events")).select(
         "event_id", "user_id", F.col("event_type").alias("name"), "value",
         F.get_json_object("props", "$.k").alias("k"))
-    ev = join_dimension(ev, tools.select("name", "tool_idx"), "name", n_tools)
+    ev = ev.join(tools.select("name", "tool_idx"), "name")
     return ev.withColumn("call_json", _call(F.col("name"), _args_json(F.col("event_id"), F.col("user_id"), F.col("k"))))
 
 
@@ -93,7 +93,7 @@ def tool_windows(tools: DataFrame, n_tools: int) -> DataFrame:
     picks = tools.select(F.col("tool_idx").alias("residue"),
                          F.posexplode(F.sequence(F.lit(0), F.lit(m - 1))).alias("i", "off"))
     picks = picks.withColumn("tool_idx", (F.col("residue") + F.col("off")) % F.lit(n_tools))
-    picks = join_dimension(picks, tools, "tool_idx", n_tools)
+    picks = picks.join(tools, "tool_idx")
     win = picks.groupBy("residue").agg(F.array_sort(F.collect_list(F.struct("i", "name", "schema_json"))).alias("w"))
     return win.select("residue", F.transform("w", lambda x: x["name"]).alias("tool_names"),
                       F.transform("w", lambda x: x["schema_json"]).alias("schemas"))
@@ -107,7 +107,7 @@ def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     may = F.coalesce((F.col("role") == "assistant") & ((F.col("conv_id") + F.col("turn")) % 3 == 1), F.lit(False))
     events = _read(spark, sf_dir, "events").select(
         F.col("event_id").alias("call_event"), "user_id", F.col("event_type").alias("call_name"), F.get_json_object("props", "$.k").alias("k"))
-    events = join_dimension(events, tools.select(F.col("name").alias("call_name")), "call_name", n_tools)
+    events = events.join(tools.select(F.col("name").alias("call_name")), "call_name")
     narrow = conv.where(may).withColumn("call_event", F.col("conv_id") * 10 + F.col("turn")).join(events, "call_event", "left")
     call = F.when(F.col("conv_id") % 2 == 0, _call(F.col("call_name"), F.lit('"none"'))).otherwise(
         _call(F.col("call_name"), _args_json(F.col("call_event"), F.col("user_id"), F.col("k"))))
@@ -131,7 +131,7 @@ def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(F.filter("lines", lambda x: x["part"] == p), lambda x: x["line"]), "\n")
 
     grouped = grouped.withColumn("residue", F.col("conv_id") % F.lit(n_tools))
-    grouped = join_dimension(grouped, windows.select("residue", "schemas"), "residue", n_tools)
+    grouped = grouped.join(windows.select("residue", "schemas"), "residue")
     system = F.concat(
         F.lit("SYSTEM: "), F.coalesce(F.nullif(joined(0), F.lit("")), F.lit(DEFAULT_SYSTEM)),
         F.lit("\n"), F.array_join("schemas", "\n"))
@@ -140,9 +140,9 @@ def raw_dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(model, example_id, prediction, reference, allowed_functions, latency_ms) per event x model."""
-    tools, n_tools, windows = tool_dimension(spark, sf_dir)
-    ev = call_events(spark, sf_dir, tools, n_tools)
-    allowed = _allowed(ev, windows, n_tools)
+    tools, _, windows = tool_dimension(spark, sf_dir)
+    ev = call_events(spark, sf_dir, tools)
+    allowed = _allowed(ev, windows)
     e, uid, k, name = F.col("event_id"), _s(F.col("user_id")), F.col("k"), F.col("name")
     bucket = e % 10
     prose = F.concat(F.lit("I could not find a tool for request "), _s(e), F.lit("."))
@@ -171,18 +171,18 @@ def eval_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "allowed_functions", F.col("value").alias("latency_ms"))
 
 
-def _allowed(ev: DataFrame, windows: DataFrame, n_tools: int) -> DataFrame:
+def _allowed(ev: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds ``allowed_functions``: own tool first, then the next tools (mod n)."""
     win = windows.select(F.col("residue").alias("tool_idx"),
                                               F.col("tool_names").alias("allowed_functions"))
-    return join_dimension(ev, win, "tool_idx", n_tools)
+    return ev.join(win, "tool_idx")
 
 
 def pair_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(example_id, prompt, completion, available_functions) per event."""
-    tools, n_tools, windows = tool_dimension(spark, sf_dir)
-    ev = call_events(spark, sf_dir, tools, n_tools)
-    ev = _allowed(ev, windows, n_tools)
+    tools, _, windows = tool_dimension(spark, sf_dir)
+    ev = call_events(spark, sf_dir, tools)
+    ev = _allowed(ev, windows)
     e = F.col("event_id")
     completion = F.when(e % 11 == 0, F.concat(F.lit("No tool is needed for request "), _s(e), F.lit(".")))\
         .otherwise(F.col("call_json"))
