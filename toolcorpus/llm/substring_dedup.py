@@ -269,7 +269,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     again = materialize(wins.groupBy("anchor", "h").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "h"), "windows-twice")
     part = wins.where("alone").join(again, ["anchor", "h"]).select(
         "id", "th", (F.col("start") + F.col("off")).alias("start"), F.lit(1).alias("size"))
-    return whole.union(part).groupBy("id", "th").agg(F.collect_list(F.struct("start", "size")).alias("runs"))
+    # A set: fully repeated rows share their runs, however many rows there are.
+    return whole.union(part).groupBy("id", "th").agg(F.collect_set(F.struct("start", "size")).alias("runs"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
