@@ -20,6 +20,23 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+ORACLE["op2_substring_dedup"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+')) AS word,
+         generate_subscripts(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), 1) AS i FROM documents),
+w AS (
+  SELECT doc_id, i, word, CASE WHEN count(*) OVER o = 35 THEN string_agg(word, ' ') OVER o END AS win
+  FROM words WHERE word <> ''
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT doc_id, i, word, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM w),
+c AS (
+  SELECT doc_id, i, word,
+         bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM r)
+SELECT d.doc_id, count(c.i) AS n_words, count(c.i) FILTER (c.gone) AS n_removed,
+       sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.i) FILTER (NOT c.gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id GROUP BY d.doc_id
+"""
+
 ORACLE["op6_mix_sources"] = """
 WITH RECURSIVE s AS (
   SELECT source, count(*) AS n,
