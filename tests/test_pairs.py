@@ -76,7 +76,7 @@ def test_sample_call_from_parameter_types(spark):
 
 def test_pair_examples_split_the_chat_once(spark):
     from conftest import SF_SMALL
-    from toolcorpus.plans.queries import q_pair_examples
+    from toolcorpus.plans.queries import QUERIES
 
-    plan = q_pair_examples(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    plan = QUERIES["pair_examples"](spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?=USER:") == 1

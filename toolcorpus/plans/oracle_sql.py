@@ -292,11 +292,14 @@ FROM tc_dialogues""")
 
 ORACLE["extract_calls_balanced"] = _q("x AS (SELECT 1) SELECT example_id, call_idx, call FROM tc_calls_of")
 
-ORACLE["extract_calls_lazy"] = _q(f"""lz AS (
+_LAZY = f"""lz AS (
   SELECT example_id, turn, {first("'<functioncall> ' || call", r"<functioncall>\s*(\{.*?\})")} AS m FROM tc_calls_of
-)
-SELECT example_id, CAST(row_number() OVER (PARTITION BY example_id ORDER BY turn) - 1 AS BIGINT) AS call_idx, m AS call
-FROM lz WHERE {valid('m')}""")
+),
+lk AS (
+  SELECT example_id, CAST(row_number() OVER (PARTITION BY example_id ORDER BY turn) - 1 AS BIGINT) AS call_idx, m AS call
+  FROM lz WHERE {valid('m')}
+)"""
+ORACLE["extract_calls_lazy"] = _q(_LAZY + " SELECT example_id, call_idx, call FROM lk")
 
 ORACLE["corpus_filter"] = _q("""x AS (SELECT 1)
 SELECT example_id, CAST(num_turns AS BIGINT) AS num_turns, CAST(len(schemas) AS BIGINT) AS num_functions,
@@ -312,6 +315,8 @@ ORACLE["split_hash"] = _q(f"""x AS (SELECT 1)
 SELECT example_id, CASE WHEN {_SPLIT_H}::DOUBLE / 4294967296.0 < 0.05 THEN 'validation' ELSE 'train' END AS split
 FROM tc_corpus WHERE num_calls > 0""")
 
+ORACLE["split_hash_lazy"] = _q(_LAZY + f""" SELECT example_id,
+  CASE WHEN {_SPLIT_H}::DOUBLE / 4294967296.0 < 0.05 THEN 'validation' ELSE 'train' END AS split FROM lk WHERE call_idx = 0""")
 _EXACT = f"""sx AS (
   SELECT example_id, row_number() OVER (ORDER BY {_SPLIT_H}, example_id) AS rn, count(*) OVER () AS n
   FROM tc_corpus WHERE num_calls > 0
@@ -564,6 +569,12 @@ SELECT c.example_id, CASE WHEN c.num_turns > 1 THEN x.text ELSE '' END AS prompt
   array_to_string(c.tool_names, ',') AS available_functions
 FROM tc_corpus c JOIN tc_text x ON x.example_id = c.example_id WHERE c.num_calls > 0""")
 
+ORACLE["pair_examples_lazy"] = _q(_LAZY + ", " + chatml("true", "AND t.turn_idx < c.num_turns - 1") + """
+SELECT c.example_id, CASE WHEN c.num_turns > 1 THEN x.text ELSE '' END AS prompt, k.call AS completion,
+  array_to_string(c.tool_names, ',') AS available_functions
+FROM tc_corpus c JOIN tc_text x ON x.example_id = c.example_id
+JOIN lk k ON k.example_id = c.example_id AND k.call_idx = 0""")
+
 # -- evaluation sample / batch predict / cap length ------------------------------
 
 _REFERENCES = (_EXACT + """ SELECT s.example_id,

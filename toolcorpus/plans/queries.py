@@ -81,8 +81,10 @@ def q_corpus_head(spark, sf):
         "example_id", F.col("num_turns").cast("bigint"), "has_function_call")
 
 
-def q_split_hash(spark, sf):
-    return B.split_corpus(B.keep_with_calls(corpus(spark, sf)), SPLIT_RATIO, SEED, "hash").select("example_id", "split")
+def _split_hash(mode):
+    def q(spark, sf):
+        return B.split_corpus(B.keep_with_calls(corpus(spark, sf, mode)), SPLIT_RATIO, SEED, "hash").select("example_id", "split")
+    return q
 
 
 def q_split_exact(spark, sf):
@@ -240,9 +242,11 @@ def q_pair_distribution(spark, sf):
         .select("rejection_strategy", "n_pairs", _r6("share"))
 
 
-def q_pair_examples(spark, sf):
-    return E.pair_examples(corpus(spark, sf)).select(
-        "example_id", "prompt", "completion", F.array_join("available_functions", ",").alias("available_functions"))
+def _pair_examples(mode):
+    def q(spark, sf):
+        return E.pair_examples(corpus(spark, sf, mode)).select(
+            "example_id", "prompt", "completion", F.array_join("available_functions", ",").alias("available_functions"))
+    return q
 
 
 def _validation(spark, sf):
@@ -353,7 +357,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "extract_calls_lazy": _calls("lazy"),
     "corpus_filter": q_corpus_filter,
     "corpus_head": q_corpus_head,
-    "split_hash": q_split_hash,
+    "split_hash": _split_hash("balanced"),
+    "split_hash_lazy": _split_hash("lazy"),
     "split_exact": q_split_exact,
     "corpus_stats": q_corpus_stats,
     "system_prompt": q_system_prompt,
@@ -387,7 +392,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pairs_missing_params": _forced("missing_params"),
     "pairs_hallucinate": _forced("hallucinate"),
     "pair_distribution": q_pair_distribution,
-    "pair_examples": q_pair_examples,
+    "pair_examples": _pair_examples("balanced"),
+    "pair_examples_lazy": _pair_examples("lazy"),
     "reference_calls": q_reference_calls,
     "eval_sample": q_eval_sample,
     "compare_models": q_compare_models,
