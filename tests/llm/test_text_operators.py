@@ -204,6 +204,25 @@ def test_contamination_recall_against_brute_force(docs, frame):
     assert {(r["doc_id"], r["item_id"]): r["distance"] for r in blocks.collect()} == got
 
 
+@pytest.mark.parametrize("length", [5, 15, 59, 100, 300])
+def test_contamination_recall_at_exactly_the_limit(docs, frame, length):
+    rng = random.Random(length)
+    edits, items, texts = math.floor(length * 0.2), [], []
+    for k in range(100):
+        item = [f"w{k}x{j}" for j in range(length)]
+        items.append((k, " ".join(item)))
+        out = list(item)
+        # Spread over the item, or one after another somewhere in it.
+        at = rng.sample(range(length), edits) if k % 4 else range((first := rng.randrange(length - edits + 1)), first + edits)
+        for p in sorted(at, reverse=True):
+            kind = rng.randrange(3)
+            out[p:p + 1] = ([f"c{k}x{p}"], [], [f"a{k}x{p}", item[p]])[kind]
+        texts.append(" ".join([f"f{k}x{j}" for j in range(40)] + out + [f"e{k}x{j}" for j in range(40)]))
+    bench = frame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in find_contamination(docs(list(enumerate(texts))), bench).collect()}
+    assert got == {(k, k) for k in range(100)}
+
+
 def test_contamination_with_empty_tables(docs, frame):
     bench = frame([(1, "a b c d e")], "item_id long, text string")
     assert find_contamination(docs([]).limit(0), bench).count() == 0

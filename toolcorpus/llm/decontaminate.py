@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embedding and bit-sampling LSH over item-sized windows, then exact edit distance."""
+"""Benchmark decontamination: q-gram filter over item-sized windows, unedited pieces of items, then exact edit distance."""
 
 from __future__ import annotations
 
@@ -13,8 +13,6 @@ from toolcorpus.llm.common import packed
 
 # Words that may differ, as a share of an item's words.
 MAX_EDITS = 0.2
-# Target recall of the search at this share of equal symbols in the two embeddings; symbols per table; random walks.
-RECALL, AGREEMENT, SAMPLED, WALKS = 0.99, 0.5, 3, 7
 # Bytes of items that one pass over the documents takes.
 BLOCK_BYTES = 4 << 20
 VOCABULARY = 1 << 18
@@ -23,11 +21,6 @@ MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
-def tables_for(recall: float = RECALL, agreement: float = AGREEMENT, sampled: int = SAMPLED) -> int:
-    """Tables so that windows whose embeddings agree in ``agreement`` of their symbols meet with ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - agreement ** sampled))
-
-
 def plain(token: str) -> str:
     """A word without case and without marks around it; empty if it has no letter or digit."""
     token = token.lower().strip(MARKS)
@@ -73,35 +66,14 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     return words if size == 1 else _mixed(words[:-1] * _M + words[1:])
 
 
-def embeddings(windows: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """CGK embedding: at each step the word at the pointer is written, and a random bit of step and word moves the pointer on."""
-    rows, at = np.arange(len(windows)), np.zeros(len(windows), np.int64)
-    padded = np.concatenate([windows, np.zeros((len(windows), 1), np.uint64)], axis=1)
-    out = np.empty((len(windows), steps), np.uint64)
-    for j in range(steps):
-        out[:, j] = padded[rows, np.minimum(at, lengths)]
-        coin = _mixed(out[:, j] + np.uint64((walk * 0x632BE59BD9B4E019 + j * 0x9FB21C651E98DF25) & 0xFFFFFFFFFFFFFFFF))
-        at += ((coin >> np.uint64(40)) & np.uint64(1)).astype(np.int64)
+def stretches(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all stretches of ``size`` neighbouring words."""
+    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
+    for j in range(size):
+        out = _mixed(out * _M + words[j:j + len(out)])
     return out
 
 
-def table_keys(windows: np.ndarray, lengths: np.ndarray, recall: float, seed: int = 5) -> np.ndarray:
-    """``(tables, windows)``: sampled symbols of the embeddings, hashed with table and length."""
-    rng = np.random.default_rng(seed)
-    n = tables_for(recall)
-    # Within twice the length the walk is still inside the window in expectation; later symbols are padding.
-    picks, steps = rng.random((n, SAMPLED)), 2 * int(lengths.max())
-    keys, rows = np.empty((n, len(windows)), np.uint64), np.arange(len(windows))
-    for walk in range(WALKS):
-        symbols = embeddings(windows, lengths, walk, steps)
-        for t in range(walk, n, WALKS):
-            key = lengths.astype(np.uint64) * _M + np.uint64(t)
-            for p in picks[t]:
-                key = _mixed(key * _M + symbols[rows, (p * 2 * lengths).astype(np.int64)])
-            keys[t] = key
-    return keys
-
-
 def edit_distance_within(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
     """Least word edits from ``item`` to any stretch of ``text`` and where that stretch ends; None if over ``most``."""
     row = np.zeros(len(text) + 1, np.int64)
@@ -118,9 +90,9 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray, most: int) -> tuple
 
 
 class Items:
-    """One block of benchmark items: word hashes, gram sets by length and LSH tables."""
+    """One block of benchmark items: word hashes, gram sets by length and pieces by length."""
 
-    def __init__(self, rows: list[tuple[object, str]], max_edits: float, recall: float):
+    def __init__(self, rows: list[tuple[object, str]], max_edits: float):
         words = Words()
         self.ids, self.words = [], []
         for key, text in rows:
@@ -128,7 +100,7 @@ class Items:
             if len(w):
                 self.ids.append(key)
                 self.words.append(w)
-        self.recall, self.max_edits = recall, max_edits
+        self.max_edits = max_edits
         self.lengths = np.array(sorted({len(w) for w in self.words}), np.int64)
         self.most = np.floor(self.lengths * max_edits + 1e-9).astype(np.int64)
         self.gram = np.where(self.lengths > 1, 2, 1)
@@ -146,14 +118,14 @@ class Items:
                 quick = np.zeros(1 << 20, bool)
                 quick[(keys >> np.uint64(44)).astype(np.int64)] = True
                 self.sets[size] = keys, np.array([found[k] for k in keys.tolist()], np.uint64), quick
-        if self.words:
-            size = np.array([len(w) for w in self.words], np.int64)
-            flat = np.zeros((len(size), int(size.max())), np.uint64)
-            for r, w in enumerate(self.words):
-                flat[r, :len(w)] = w
-            keys = table_keys(flat, size, recall)
-            order = np.argsort(keys, axis=1, kind="stable")
-            self.keys, self.order = np.take_along_axis(keys, order, axis=1), order
+        # Each edit is in one piece at most, so of most + 1 pieces one at least is in the text as it is.
+        self.pieces = {}
+        for i, n in enumerate(self.lengths.tolist()):
+            cuts, size = np.arange(self.most[i] + 1) * n // (self.most[i] + 1), n // int(self.most[i] + 1)
+            mine = [k for k, w in enumerate(self.words) if len(w) == n]
+            keys = np.concatenate([stretches(self.words[k], size)[cuts] for k in mine])
+            order = np.argsort(keys, kind="stable")
+            self.pieces[n] = size, keys[order], np.repeat(mine, len(cuts))[order], np.tile(cuts, len(mine))[order]
 
     def windows(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """``(length, starts)`` of the item-sized windows that share enough grams with items of that length.
@@ -189,39 +161,41 @@ class Items:
                 if len(starts):
                     yield n, starts
 
+    def candidates(self, doc: np.ndarray, n: int, starts: np.ndarray, hashes: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """``(item, begins)`` of the items of ``n`` words with a piece in the text, where one of ``starts`` is within the edits allowed.
+
+        Edits move a piece by ``most`` words at most. ``hashes`` keeps the text's stretches by size.
+        """
+        size, keys, owner, cut = self.pieces[n]
+        if size not in hashes:
+            hashes[size] = stretches(doc, size)
+        h, most = hashes[size], int(self.most[np.searchsorted(self.lengths, n)])
+        lo = np.searchsorted(keys, h, "left")
+        at = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h)
+        lo, count = lo[at], np.searchsorted(keys, h[at], "right") - lo[at]
+        which = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+        begin, item = np.repeat(at, count) - cut[which], owner[which]
+        near = np.searchsorted(starts, begin + most, "right") > np.searchsorted(starts, begin - most, "left")
+        begin, item = begin[near], item[near]
+        order = np.argsort(item, kind="stable")
+        begin, item = begin[order], item[order]
+        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
+            if len(part):
+                yield int(item[part[0]]), begin[part]
+
     def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """``(document, item, distance, end)``: every item found in every text, at its least distance."""
-        owner, begin, size = [], [], []
-        for r, doc in enumerate(docs):
+        spots: dict[tuple[int, int], list[np.ndarray]] = {}
+        for x, doc in enumerate(docs):
+            hashes: dict[int, np.ndarray] = {}
             for n, starts in self.windows(doc):
-                owner.append(np.full(len(starts), r))
-                begin.append(starts)
-                size.append(np.full(len(starts), n))
-        if not owner:
-            return []
-        owner, begin, size = (np.concatenate(x) for x in (owner, begin, size))
-        order = np.argsort(size, kind="stable")
-        owner, begin, size = owner[order], begin[order], size[order]
-        pairs: set[tuple[int, int]] = set()
-        spots: dict[tuple[int, int], list[int]] = {}
-        for a in range(0, len(owner), 1 << 12):
-            o, b, s = owner[a:a + (1 << 12)], begin[a:a + (1 << 12)], size[a:a + (1 << 12)]
-            flat = np.zeros((len(o), int(s.max())), np.uint64)
-            for r, (x, y, n) in enumerate(zip(o.tolist(), b.tolist(), s.tolist(), strict=True)):
-                piece = docs[x][max(0, y):y + n]
-                flat[r, :len(piece)] = piece
-            for keys, known, order in zip(table_keys(flat, s, self.recall), self.keys, self.order, strict=True):
-                lo, hi = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
-                for r in np.flatnonzero(hi > lo):
-                    for k in order[lo[r]:hi[r]]:
-                        pairs.add((a + int(r), int(k)))
-        for r, k in pairs:
-            spots.setdefault((int(owner[r]), k), []).append(int(begin[r]))
+                for k, begin in self.candidates(doc, n, starts, hashes):
+                    spots.setdefault((x, k), []).append(begin)
         out = []
         for (x, k), starts in sorted(spots.items()):
             item, best = self.words[k], None
             most = int(math.floor(len(item) * self.max_edits + 1e-9))
-            starts = np.sort(np.array(starts))
+            starts = np.sort(np.concatenate(starts))
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > len(item)) + 1):
                 a, b = max(0, int(part[0]) - most), min(len(docs[x]), int(part[-1]) + len(item) + most)
                 found = edit_distance_within(item, docs[x][a:b], most)
@@ -234,9 +208,9 @@ class Items:
         return out
 
 
-def _search(batches: Iterator[pa.RecordBatch], rows: list[tuple[object, str]], max_edits: float, recall: float,
+def _search(batches: Iterator[pa.RecordBatch], rows: list[tuple[object, str]], max_edits: float,
             key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-    items, words = Items(rows, max_edits, recall), Words()
+    items, words = Items(rows, max_edits), Words()
     for batch in batches:
         texts, out, docs, at, held = batch.column("txt"), [], [], 0, 0
         for r in range(len(texts)):
@@ -271,17 +245,17 @@ def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_b
 
 
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                      item_text_col: str = "text", max_edits: float = MAX_EDITS, recall: float = RECALL,
+                      item_text_col: str = "text", max_edits: float = MAX_EDITS,
                       block_bytes: int = BLOCK_BYTES, **keep) -> DataFrame | None:
     """A row per document and item found in it: the columns ``keep`` and ``item_id, distance, item_words, end_word``.
 
     Words are split at white space and compared without case and without marks
     around them. An item is found where a stretch of the text is within
     ``max_edits`` (share of the item's words) word insertions, deletions and
-    changes; this is verified exactly. Candidates come from ``tables_for``
-    bit-sampling tables over CGK embeddings of item-sized windows; windows that
-    share too few neighbour pairs with items of their length cannot match and
-    are not embedded. Null or empty texts hold nothing; null or wordless items
+    changes; this is verified exactly. An item cut into one piece more than the
+    edits allowed keeps one piece as it is, so texts that hold a piece near a
+    window that shares enough neighbour pairs with items of that length are
+    all the candidates: no match is lost. Null or empty texts hold nothing; null or wordless items
     are found nowhere; equal items are each found. The benchmark is a query
     set: it is read in blocks of ``block_bytes``, and each block searches all
     documents. None if there are no items.
@@ -294,7 +268,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
     key_type, out = to_arrow_type(kind), None
     for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        part = rows.mapInArrow(lambda b, block=block: _search(b, block, max_edits, recall, key_type), schema)
+        part = rows.mapInArrow(lambda b, block=block: _search(b, block, max_edits, key_type), schema)
         out = part if out is None else out.union(part)
     return out
 
@@ -309,7 +283,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", max_edits: float = MAX_EDITS, recall: float = RECALL,
+                  item_text_col: str = "text", max_edits: float = MAX_EDITS,
                   block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, unchanged and with all their columns, in which no item is found.
 
@@ -319,13 +293,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     """
     out = docs
     for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        out = _without(out, block, text_col, max_edits, recall)
+        out = _without(out, block, text_col, max_edits)
     return out
 
 
-def _without(docs: DataFrame, block: list[tuple[object, str]], text_col: str, max_edits: float, recall: float) -> DataFrame:
+def _without(docs: DataFrame, block: list[tuple[object, str]], text_col: str, max_edits: float) -> DataFrame:
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, words = Items(block, max_edits, recall), Words()
+        items, words = Items(block, max_edits), Words()
         for batch in batches:
             texts, bad, part, at, held = batch.column("txt"), set(), [], 0, 0
             for r in range(len(texts)):
