@@ -3,7 +3,8 @@
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame. All but the last return the columns of ``docs``:
 
-1. language_id: texts in no language, or with a score under 0.3, go;
+1. language_id: texts in no language, or whose words are unsure of theirs (mean
+   largest posterior under 0.3), go; evenly mixed languages stay;
 2. line_dedup: later occurrences of repeated three-line windows go from the
    texts, ``n_chars`` follows; no document goes;
 3. simhash_dedup: one document of each near-duplicate component stays;

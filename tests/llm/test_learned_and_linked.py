@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from conftest import SF_SMALL
@@ -121,6 +122,16 @@ def test_language_id_held_out_accuracy_and_edge_texts(spark, frame):
     assert {r["lang_pred"] for r in lang.language_id(odd.select("doc_id", "text", odd.lang.substr(9, 1).alias("lang")).where("lang is null")).collect()} == {"und"}
 
 
+def test_even_mixtures_of_languages_are_accepted(spark, frame):
+    model = lang.train([(k, " ".join(f"{c}{v}{c}" for c in part for v in "aeiou")) for k, part in
+                        (("l1", "bcd"), ("l2", "fgh"), ("l3", "jkl"), ("l4", "mnp"))] * 20)
+    text = " ".join(" ".join(f"{c}{v}{c}" for c in part for v in "aeiou") for part in ("bcd", "fgh", "jkl", "mnp"))
+    rows = frame([(1, text), (2, None), (3, "12 !?")], "doc_id long, text string")
+    best = {r["doc_id"]: r["score"] for r in lang.identify(rows, model, doc_id=F.col("doc_id")).collect()}
+    assert best[1] < 0.3
+    assert [r["doc_id"] for r in lang.accepted(rows, model).collect()] == [1]
+
+
 def test_code_switched_words_are_labelled_one_by_one(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     model = lang.fit(docs)

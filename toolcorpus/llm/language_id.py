@@ -200,9 +200,9 @@ class Decoder:
             out += [np.fromiter(map(get, words), np.int32, len(words)) for words in split]
         return out
 
-    def shares(self, texts: list[str | None]) -> np.ndarray:
-        """Mean posterior of each label over a text's words with letters; zeros if it has none."""
-        out = np.zeros((len(texts), len(self.model.labels)))
+    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Mean posterior of each label, and mean of the largest posterior, over a text's words with letters; zeros if it has none."""
+        out, sure = np.zeros((len(texts), len(self.model.labels))), np.zeros(len(texts))
         words = [w[w >= 0] for w in self.coded(texts)]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(-sizes, kind="stable")
@@ -212,28 +212,31 @@ class Decoder:
             begins = np.cumsum(n) - n
             post, _, _ = marginals(self.rows[flat], begins, n, self.model.transitions, self.model.start)
             out[order] = np.add.reduceat(post, begins, axis=0, dtype=np.float64) / n[:, None]
-        return out
+            sure[order] = np.add.reduceat(post.max(1), begins, dtype=np.float64) / n
+        return out, sure
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     decoder, size = Decoder(model), max(1, len(model.labels))
     for batch in batches:
         texts = batch.column("txt").to_pylist()
-        labels, scores, at = [], [], 0
+        labels, scores, sures, at = [], [], [], 0
         while at < len(texts):
             to, room = at, HELD // size * 6
             while to < len(texts) and (to == at or room > 0):
                 room -= len(texts[to] or "")
                 to += 1
-            shares = decoder.shares(texts[at:to]) if model.labels else np.zeros((to - at, 1))
+            shares, sure = decoder.shares(texts[at:to]) if model.labels else (np.zeros((to - at, 1)), np.zeros(to - at))
             best = shares.argmax(1)
             top = shares[np.arange(len(best)), best]
             labels += [model.labels[b] if s > 0 else UNKNOWN for b, s in zip(best, top, strict=True)]
             scores.append(np.minimum(top, 1.0))
+            sures.append(np.minimum(sure, 1.0))
             at = to
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(labels, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())],
-            [*batch.schema.names[:-1], "lang_pred", "score"])
+            [*batch.columns[:-1], pa.array(labels, pa.string()),
+             *(pa.array(np.concatenate(x) if x else [], pa.float64()) for x in (scores, sures))],
+            [*batch.schema.names[:-1], "lang_pred", "score", "sureness"])
 
 
 def held_out(id_col: Column, parts: int = 4, which: int = 2) -> Column:
@@ -257,10 +260,10 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Co
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", **keep: Column) -> DataFrame:
-    """The columns ``keep`` and ``lang_pred, score`` for every text."""
+    """The columns ``keep`` and ``lang_pred, score, sureness`` for every text."""
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias("txt"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(lambda b: _predict(b, model), f"{fields}, lang_pred string, score double")
+    return rows.mapInArrow(lambda b: _predict(b, model), f"{fields}, lang_pred string, score double, sureness double")
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -276,13 +279,17 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     each; an empty table gives none; other columns are ignored.
     """
     model = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, F.col(id_col))
-    return identify(docs, model, text_col, doc_id=F.col(id_col), held_out=held_out(F.col(id_col)))
+    return identify(docs, model, text_col, doc_id=F.col(id_col), held_out=held_out(F.col(id_col))).drop("sureness")
+
 
+def accepted(docs: DataFrame, model: Model, min_sureness: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text has a language and whose words are sure of theirs.
 
-def accepted(docs: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a language with at least ``min_score``."""
+    Sureness is the mean over words of the largest posterior, ``min_sureness`` at
+    least. Texts spread over many languages stay if each word is sure of its own.
+    """
     from toolcorpus.llm.common import packed
 
     rows = packed(docs, __text=F.col(text_col))
     out = identify(rows, model, "__text", __row=F.col("__row"))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select("__row.*")
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("sureness") >= min_sureness)).select("__row.*")
