@@ -11,7 +11,7 @@ from conftest import SF_SMALL
 from toolcorpus.llm import language_id as lang
 from toolcorpus.llm.quality_ranking import describe, rank_quality, train
 from toolcorpus.llm.queries import QUERIES
-from toolcorpus.llm.url_filter import filter_urls, propagate
+from toolcorpus.llm.url_filter import filter_urls, propagate, rounds_for
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -71,6 +71,15 @@ def test_trust_and_distrust_match_power_iteration(frame):
         assert r["trust"] == pytest.approx(trust[h], abs=1e-6) and r["distrust"] == pytest.approx(distrust[h], abs=1e-6)
 
 
+def test_propagation_goes_on_to_the_tolerance_or_raises(spark):
+    # A chain: distrust moves one link a round, so two rounds are too few.
+    links = spark.createDataFrame([(f"h{i + 1}", f"h{i}", 1) for i in range(5)], "src string, dst string, n long").coalesce(1)
+    seeds = spark.createDataFrame([("h0", 0.0, 1.0)], "host string, good double, bad double").coalesce(1)
+    with pytest.raises(RuntimeError, match="settle"):
+        propagate(links, seeds, rounds=2)
+    assert 2 * 0.85 ** rounds_for(0.85, 1e-6) <= 1e-6 and 2 * 0.5 ** rounds_for(0.5, 1e-9) <= 1e-9
+
+
 def test_hosts_near_blocked_ones_are_blocked(frame):
     page = lambda i, u, *to: (i, u, "".join(f"<a href='http://{t}/'>" for t in to))
     pages = [page(0, "http://bad.com/de/1"), page(1, "http://links-to-bad.net/x", "bad.com"), page(2, "http://good.org/"),

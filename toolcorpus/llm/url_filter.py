@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from toolcorpus.llm.common import materialize
 
-DAMPING, ROUNDS, TOLERANCE = 0.85, 30, 1e-6
+DAMPING, TOLERANCE = 0.85, 1e-6
 # A host is blocked if its distrust is over this many times its trust.
 RATIO = 2.0
 # Fixed values: (verdict, rule).
@@ -49,7 +50,12 @@ def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
             .where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("n")))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS,
+def rounds_for(damping: float = DAMPING, tolerance: float = TOLERANCE) -> int:
+    """Rounds after which no graph changes by more than ``tolerance``; the first change is ``2 * damping`` at most."""
+    return max(1, math.ceil(math.log(tolerance / 2) / math.log(damping))) + 2
+
+
+def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int | None = None,
               tolerance: float = TOLERANCE) -> DataFrame:
     """``(host, trust, distrust)`` by personalised PageRank with restart at the seeds.
 
@@ -57,10 +63,12 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     dst, n``. Both kinds are scaled by the weight of all seeds, so the two scores
     compare as masses of pages. Trust follows links, distrust goes against them. What a host
     without a way on holds goes back to the seeds. Rounds end when both sums of
-    changes are within ``tolerance``. No seeds of a kind: that score is zero
+    changes are within ``tolerance``: each round shrinks them by ``damping``, which
+    bounds the rounds unless ``rounds`` does. Too few rounds are an error. No seeds of a kind: that score is zero
     everywhere. Each round is two joins and one sum by host, with map-side
     combine, written to the shared folder; sums of one row go to the driver.
     """
+    rounds = rounds_for(damping, tolerance) if rounds is None else rounds
     out_n = links.groupBy("src").agg(F.sum("n").alias("out_n"))
     in_n = links.groupBy("dst").agg(F.sum("n").alias("in_n"))
     edges = materialize(links.join(out_n, "src").join(in_n, "dst").select(
@@ -98,6 +106,8 @@ def propagate(links: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
         moved = state.agg(F.sum("dt").alias("t"), F.sum("dd").alias("d")).first()
         if max(moved["t"] or 0.0, moved["d"] or 0.0) <= tolerance:
             break
+    else:
+        raise RuntimeError(f"trust and distrust did not settle in {rounds} rounds")
     return state.select("host", "trust", "distrust")
 
 
