@@ -88,3 +88,66 @@ SELECT doc_id, first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc
        sha256(t) AS text_sha256
 FROM n
 """
+
+ORACLE["op13_hard_negatives"] = """
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id AS id, a.label = c.label AS alike,
+         list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * c.v[i]))::BIGINT AS score
+  FROM e a JOIN e c ON a.vec_id <> c.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+r AS (
+  SELECT p.*, s.id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.id)::INTEGER AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.alike
+   AND s.score * 100 BETWEEN 30 * p.positive_score AND 90 * p.positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM r WHERE rank <= 10
+"""
+
+
+ORACLE["op11_spelling_variants"] = r"""
+WITH RECURSIVE r AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+k AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key, count(*) AS n FROM r WHERE length(run) >= 6 GROUP BY 1, 2),
+b AS (SELECT run, n, list_transform(range(0, length(hex(key)) // 2), lambda i: ('0x' || substr(hex(key), 2 * i + 1, 2))::BIGINT) AS bytes FROM k),
+h AS (SELECT run, n, xor(4294967295, list_reduce(bytes, lambda c, x: @STEP@, 4294967295)) AS h FROM b),
+w AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+  FROM h GROUP BY 1 HAVING length(word) >= 6 AND sum(n) >= 5),
+-- A byte for each letter, so that the distance counts letters.
+t AS (SELECT word, n, translate(word, @MARKED@, @PLAIN@) AS s FROM w),
+-- Two words one edit apart agree after at most one deletion from each.
+d AS (SELECT word, n, s, unnest(list_distinct(list_transform(range(0, length(s) + 1), lambda i: substr(s, 1, i) || substr(s, i + 2)))) AS cut FROM t),
+p AS (SELECT DISTINCT a.word, a.n, c.word AS near, c.n AS near_n FROM d a JOIN d c ON a.cut = c.cut AND a.word <> c.word AND levenshtein(a.s, c.s) = 1),
+f AS (
+  SELECT w.word, w.n, count(p.near) AS n_near, arg_min(p.near, (-p.near_n, p.near)) AS best, max(p.near_n) AS best_n
+  FROM w LEFT JOIN p ON w.word = p.word GROUP BY w.word, w.n),
+g AS (SELECT word, n, n_near, CASE WHEN best_n >= 5 * n THEN best END AS form, CASE WHEN best_n >= 5 * n THEN best_n END AS form_n FROM f),
+way AS (
+  SELECT word, word AS root, 0 AS step FROM g
+  UNION ALL SELECT way.word, g.form, step + 1 FROM way JOIN g ON way.root = g.word WHERE g.form IS NOT NULL)
+SELECT g.*, l.root FROM g JOIN (SELECT word, arg_max(root, step) AS root FROM way GROUP BY word) l ON g.word = l.word
+"""
+_MARKED = "".join(map(chr, range(0xC0, 0x100)))
+_PLAIN = "".join(c for c in map(chr, range(33, 127)) if not c.islower() and c not in "'")[:64]
+
+
+def _half(c: str, x: str) -> str:
+    """One half byte of CRC-32: a table of 16, by its rule."""
+    table = []
+    for v in range(16):
+        for _ in range(4):
+            v = v >> 1 ^ (0xEDB88320 if v & 1 else 0)
+        table.append(v)
+    return f"xor({table}[(xor({c}, {x}) & 15) + 1], ({c}) >> 4)"
+
+
+for _old, _new in (("@STEP@", _half(_half("c", "x"), "x >> 4")), ("@MARKED@", f"'{_MARKED}'"), ("@PLAIN@", f"'{_PLAIN}'")):
+    ORACLE["op11_spelling_variants"] = ORACLE["op11_spelling_variants"].replace(_old, _new)

@@ -85,6 +85,27 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from toolcorpus.llm.spelling import count_words, spelling_groups
+
+    return spelling_groups(count_words(table(spark, sf_dir, "documents"), drop_every=199))
+
+
+def op12_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from toolcorpus.llm.sharding import balanced_shards
+
+    return balanced_shards(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from toolcorpus.llm.hard_negatives import mine_hard_negatives
+
+    vectors = table(spark, sf_dir, "embeddings").withColumn(
+        "label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return mine_hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_chat_format, op2_substring_dedup, op3_url_filter, op4_simhash_dedup, op5_decontaminate, op6_mix_sources,
-    op7_language_id, op8_line_dedup, op9_quality_ranking, op10_exact_dedup)}
+    op7_language_id, op8_line_dedup, op9_quality_ranking, op10_exact_dedup, op11_spelling_variants,
+    op12_balanced_shards, op13_hard_negatives)}
