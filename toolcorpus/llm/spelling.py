@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -19,39 +18,35 @@ SYMBOLS = 8
 # Words counted at once in a task, bytes of a text split at once, and hashes of neighbourhoods held at once.
 HELD_WORDS, CHUNK, HELD_HASHES = 1 << 18, 1 << 20, 1 << 20
 
-# A-Z, a-z and U+00C0 to U+00FF, which UTF-8 writes as C3 and one byte; any other byte ends a run.
-_RUN = re.compile(rb"(?:[a-z]+|\xc3[\x80-\xbf])+")
-_END = re.compile(rb"[^a-z\x80-\xbf\xc3]")
+# One byte for each letter: a-z, and U+00C0 to U+00FF as in Latin-1; A-Z lower-cased, a blank for all else.
+_LETTERS = bytes(c if 97 <= c <= 122 or c >= 192 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
-def runs(text: str) -> Iterator[bytes]:
-    """Maximal runs of letters, A-Z lower-cased, of a whole text, split a bounded piece at a time."""
-    raw = text.encode().lower()  # of bytes: A-Z only
-    at = 0
+def runs(text: str) -> Iterator[list[bytes]]:
+    """Maximal runs of letters, a byte each, of a whole text, split a bounded piece at a time."""
+    raw, at = text.encode("latin-1", "replace").translate(_LETTERS), 0
     while at < len(raw):
-        end = _END.search(raw, at + CHUNK)
-        to = end.start() if end else len(raw)
-        yield from _RUN.findall(raw, at, to)
+        to = raw.find(b" ", at + CHUNK)
+        to = len(raw) if to < 0 else to
+        yield raw[at:to].split()
         at = to
 
 
 def respelled(run: bytes, key: int, drop_every: int) -> bytes:
-    """The run without its code point ``h % length`` where ``drop_every`` divides ``h``, the crc32 that goes on from ``key``."""
-    h = zlib.crc32(run, key)
+    """The run without its letter ``h % length`` where ``drop_every`` divides ``h``, the crc32 of its UTF-8 that goes on from ``key``."""
+    h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), key)
     if h % drop_every:
         return run
-    letters = run.decode()
-    at = h % len(letters)
-    return (letters[:at] + letters[at + 1:]).encode()
+    at = h % len(run)
+    return run[:at] + run[at + 1:]
 
 
 def _count(batches: Iterator[pa.RecordBatch], min_chars: int, drop_every: int | None) -> Iterator[pa.RecordBatch]:
     def held() -> pa.RecordBatch:
-        words = [(w, n) for w, n in ((b.decode(), n) for b, n in counts.items()) if len(w) >= min_chars]
-        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in words], pa.string()), pa.array([n for _, n in words], pa.int64())],
-                                          ["word", "n"])
+        words = {w.decode("latin-1"): n for w, n in counts.items() if len(w) >= min_chars}
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["word", "n"])
 
     counts: dict[bytes, int] = {}
     for batch in batches:
@@ -60,7 +55,10 @@ def _count(batches: Iterator[pa.RecordBatch], min_chars: int, drop_every: int |
             if not text:
                 continue
             start = zlib.crc32(f"{'' if key is None else key}:".encode())
-            for run, n in Counter(runs(text)).items():
+            own = Counter()
+            for piece in runs(text):
+                own.update(piece)
+            for run, n in own.items():
                 if len(run) >= min_chars:
                     word = run if drop_every is None else respelled(run, start, drop_every)
                     counts[word] = counts.get(word, 0) + n
