@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from toolcorpus.functions.braces import tagged_object, top_level_spans
-from toolcorpus.functions.calls import call_name, extract_call_text, parse_call
-from toolcorpus.functions.jsonx import is_json, json_string, py_json_style
+from toolcorpus.functions.calls import extract_call_text, parse_call, parsed_call
+from toolcorpus.functions.jsonx import is_json, json_string, py_json
 from toolcorpus.operators.extract import extraction_status, to_results
 
 BOOK = '{"name": "book_ferry", "arguments": {"port": "Malmö", "deck": 2}}'
@@ -32,7 +32,7 @@ def test_profiles_on_plain_tagged_embedded_and_missing_calls(spark):
 
 def test_first_of_two_calls_wins_and_a_broken_match_moves_to_the_next_pattern(spark):
     other = BOOK.replace("book_ferry", "cancel_ferry")
-    assert column(spark, [BOOK + " " + other], lambda c: call_name(parse_call(c, "pairs"))) == ["book_ferry"]
+    assert column(spark, [BOOK + " " + other], lambda c: parsed_call(c, "pairs").getField("name")) == ["book_ferry"]
     broken = '<functioncall> {"name": oops} then {"name": "late"}'
     assert parsed(spark, [broken], "pairs") == [None]
     assert parsed(spark, ['<functioncall> {oops} then ' + BOOK], "pairs") == [json.loads(BOOK)]
@@ -78,7 +78,7 @@ def test_rendering_escapes_like_python(spark):
     values = ["é", "naïve — 𝄞", "plain", 'q"\\', "tab\t"]
     assert column(spark, values, json_string) == [json.dumps(v) for v in values]
     docs = ['{"k":[1,2.5,null],"ü":{"s":"a: b, c"}}', "[]"]
-    assert column(spark, docs, py_json_style) == [json.dumps(json.loads(d)) for d in docs]
+    assert column(spark, docs, py_json) == [json.dumps(json.loads(d)) for d in docs]
 
 
 def nested(levels):

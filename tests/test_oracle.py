@@ -49,4 +49,5 @@ def test_entry_smoke(spark):
 
 def test_every_query_has_rows_or_oracle(spark):
     missing = set(entry.queries()) - set(entry.oracle_sql())
-    assert all(name.startswith("op") or name == "pipeline" for name in missing)
+    # pack_whole is held against brute force in test_packing
+    assert all(name.startswith("op") or name in ("pipeline", "pack_whole") for name in missing)

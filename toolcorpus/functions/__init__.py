@@ -4,10 +4,10 @@ from toolcorpus.functions.text import py_split, py_strip, remove_suffix
 from toolcorpus.functions.rand import stable_hash
 from toolcorpus.functions.rows import keep_where
 from toolcorpus.functions.jsonx import (
-    canonical_json, is_json, json_has_keys, json_string, py_json_style,
+    is_json, json_string, py_json,
 )
 
 __all__ = [
-    "keep_where", "py_split", "py_strip", "remove_suffix", "stable_hash", "canonical_json",
-    "is_json", "json_has_keys", "json_string", "py_json_style",
+    "keep_where", "py_split", "py_strip", "remove_suffix", "stable_hash",
+    "is_json", "json_string", "py_json",
 ]

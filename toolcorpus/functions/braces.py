@@ -8,10 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F, types as T
 
+from toolcorpus.functions.jsonx import _ABSENT, decoded
+
 _TEXTS = T.ArrayType(T.StringType())
 _BRACE = re.compile("[{}]")
 # A JSON string, so that braces inside it do not count, or a brace.
-_STRING_OR_BRACE = re.compile(r'"(?:[^"\\]|\\.)*"|[{}]', re.DOTALL)
+_STRING_OR_BRACE = re.compile(r'"(?:[^"\\]++|\\.)*+"|[{}]', re.DOTALL)
 
 
 def top_level_spans(text: str) -> list[tuple[int, int]]:
@@ -40,16 +42,24 @@ def tagged_object(text: str, tag: str) -> str | None:
     return None
 
 
-@F.pandas_udf(_TEXTS)
-def top_level_objects(texts: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None else [t[a:b] for a, b in top_level_spans(t)] for t in texts])
+def objects_with(texts, *keys: str):
+    """Top-level objects of each text that decode as JSON objects with all ``keys``."""
+    def fits(text: str) -> bool:
+        value = decoded(text)
+        return isinstance(value, dict) and all(k in value for k in keys)
+
+    @F.pandas_udf(_TEXTS)
+    def run(rows: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [o for o in (t[a:b] for a, b in top_level_spans(t)) if fits(o)] for t in rows])
+
+    return run(texts)
 
 
-def tagged_objects(contents, tag: str):
-    """For an array of texts, the tagged object of each that has one."""
+def found_objects(contents, find):
+    """For an array of texts, what ``find`` returns of each, if it is JSON."""
     @F.pandas_udf(_TEXTS)
     def run(rows: pd.Series) -> pd.Series:
-        return pd.Series([None if r is None else [o for o in (tagged_object(t, tag) for t in r if t is not None) if o is not None]
-                          for r in rows])
+        found = ([find(t) for t in r if t is not None] if r is not None else None for r in rows)
+        return pd.Series([None if r is None else [o for o in r if decoded(o) is not _ABSENT] for r in found])
 
     return run(contents)

@@ -10,7 +10,8 @@ _WS = r"[\s\x{1c}-\x{1f}]"
 
 def py_strip(col: Column) -> Column:
     """``str.strip()``: remove Unicode whitespace at both ends (``trim`` only removes blanks)."""
-    return F.regexp_replace(col, rf"(?U)^{_WS}+|{_WS}+\z", "")
+    # Possessive, and only from where a run of blanks begins, so blanks inside a long text are passed once.
+    return F.regexp_replace(col, rf"(?U)^{_WS}++|(?<!{_WS}){_WS}++\z", "")
 
 
 def remove_suffix(col: Column, suffix: str) -> Column:

@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from toolcorpus.functions.calls import (
-    arguments_json, call_name, extract_call_text, parse_call,
-)
-from toolcorpus.functions.jsonx import is_json, py_json_style
+from toolcorpus.functions.calls import extract_call_text, parse_call, parsed_call
+from toolcorpus.functions.jsonx import is_json
 
 # --- fixed values: extraction status labels ----------------------------------
 STATUS_NONE = "no_call_found"
@@ -31,19 +29,18 @@ def to_results(df: DataFrame, raw_col: str = "raw_output", latency_col: str | No
     ``{}`` (Python-style JSON text), latency is rounded to 0.1 ms, ``error`` is
     declared but never set.
     """
-    call = parse_call(F.col(raw_col), "inference")
-    out = df.withColumn("_call", call)
+    out = df.withColumn("_call", parsed_call(F.col(raw_col), "inference"))
+    found = F.col("_call.call").isNotNull()
     latency = F.round(F.col(latency_col), 1) if latency_col else F.lit(None).cast("double")
     return out.select(
         *[c for c in df.columns if c not in (raw_col, latency_col)],
         F.col(raw_col).alias("raw_output"),
-        F.when(F.col("_call").isNotNull(), F.get_json_object("_call", "$.name")).alias("function_name"),
-        F.when(F.col("_call").isNotNull(), py_json_style(arguments_json(F.col("_call"))))
-         .otherwise(F.lit("{}")).alias("arguments"),
+        F.when(F.col("_call.has_name"), F.coalesce("_call.name", "_call.name_json")).alias("function_name"),
+        F.coalesce("_call.arguments", F.lit("{}")).alias("arguments"),
         latency.alias("latency_ms"),
-        F.col("_call").isNotNull().alias("valid"),
+        found.alias("valid"),
         F.lit(None).cast("string").alias("error"),
     )
 
 
-__all__ = ["extract_call_text", "parse_call", "call_name", "extraction_status", "to_results"]
+__all__ = ["extract_call_text", "parse_call", "extraction_status", "to_results"]

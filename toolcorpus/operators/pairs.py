@@ -7,10 +7,11 @@ partitioning, so the operator is one narrow projection with no shuffle.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from toolcorpus.functions.calls import parse_call
-from toolcorpus.functions.jsonx import canonical_json, json_has_keys, json_string, py_json_style
+from toolcorpus.functions.calls import call_fields, scan
+from toolcorpus.functions.jsonx import encoded, json_string, py_json, utf8
 from toolcorpus.functions.rand import stable_hash
 from toolcorpus.functions.rows import keep_where
 from toolcorpus.operators.parse import function_names
@@ -22,109 +23,84 @@ HALLUCINATED_NAMES = (
     "delete_file", "call_contact", "print_document", "take_screenshot",
 )
 HALLUCINATED_ARGUMENTS = '{"query": "example", "target": "user"}'
-INVALID_VALUE = '"invalid_value"'
+INVALID_VALUE = "invalid_value"
 PARAM_OFFSET = 42
 # ------------------------------------------------------------------------------
 
-_INT_TEXT = r"^-?[0-9]+$"
-
 
 def _draw(seed, salt, key, *more) -> Column:
     return stable_hash(seed, salt, key, *more)
 
 
-def _args_parts(call: Column):
-    """(text map, variant map) of the arguments object; NULL when arguments is not an object."""
-    text = F.from_json(call, "struct<arguments: map<string,string>>").getField("arguments")
-    typed = F.from_json(call, "struct<arguments: map<string,variant>>").getField("arguments")
-    return text, typed
-
-
-def _value_json(text: Column, typ: Column) -> Column:
-    """JSON text of one argument value from its map<string,string> text and variant type."""
-    return F.when(text.isNull(), F.lit("null")).when(typ == "STRING", json_string(text)).otherwise(text)
-
-
-def _py_float(x: Column) -> Column:
-    """Python ``repr`` of a float for the magnitudes produced here (|x| >= 42): shortest digits, exponent from 1e16."""
-    short = x.cast("string")
-    plain = F.regexp_replace(short.try_cast("decimal(38,17)").cast("string"), r"0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    return F.when(F.abs(x) < 1e16, plain).otherwise(F.regexp_replace(short, r"(?:\.0)?E(\d+)$", "e+$1"))
-
-
-def _corrupt_value(text: Column, typ: Column) -> Column:
-    """E4 per value, first match wins (bool hits the numeric branch, as in Python)."""
-    is_num = typ.rlike(r"^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)")
-    as_int = F.when(text.rlike(_INT_TEXT),
-                    (-(F.abs(text.cast("decimal(38,0)")) + PARAM_OFFSET)).cast("string"))
-    as_float = _py_float(-(F.abs(text.cast("double")) + float(PARAM_OFFSET)))
-    texts, kinds = F.from_json(text, "array<string>"), F.from_json(text, "array<variant>")
-    elements = F.transform(kinds, lambda v, i: _value_json(F.get(texts, i), F.schema_of_variant(v)))
-    reversed_list = F.concat(F.lit("["), F.array_join(F.reverse(elements), ", "), F.lit("]"))
-    return (
-        F.when((typ == "STRING") & (F.length(text) > 3), json_string(F.reverse(text)))
-        .when(is_num, F.coalesce(as_int, as_float))
-        .when(typ == "BOOLEAN", F.when(text == "true", F.lit(str(-(1 + PARAM_OFFSET))))
-              .otherwise(F.lit(str(-(0 + PARAM_OFFSET)))))
-        .when(typ.startswith("ARRAY") & (F.size(F.from_json(text, "array<string>")) > 0), reversed_list)
-        .otherwise(F.lit(INVALID_VALUE))
-    )
+def corrupted(value):
+    """E4 per value, first match wins: a string of more than three characters or a list with elements is reversed, a
+    number (true and false are 1 and 0) is moved beyond zero by the offset, all else is replaced."""
+    if isinstance(value, (int, float)):
+        return -(abs(value) + PARAM_OFFSET)
+    if isinstance(value, str) and len(value) > 3 or isinstance(value, list) and value:
+        return value[::-1]
+    return INVALID_VALUE
+
+
+_PARTS_TYPE = "struct<name:string,name_json:string,has_name:boolean,arguments:string,args:array<struct<k:string,key:string,value:string,bad:string>>>"
+_PARTS_ARROW = pa.struct([("name", pa.string()), ("name_json", pa.string()), ("has_name", pa.bool_()), ("arguments", pa.string()),
+                          ("args", pa.list_(pa.struct([(n, pa.string()) for n in ("k", "key", "value", "bad")])))])
+
+
+def call_parts(completion: Column) -> Column:
+    """The call of a completion, decoded once: its name, its arguments as JSON, and, if they are an object, each key
+    with its value and its corrupted value as JSON. Null where there is no call."""
+    def parts(text):
+        found, call = scan(text, "pairs")
+        if found is None:
+            return None
+        fields = call_fields(found, call)
+        args = call.get("arguments")
+        args = [{"k": utf8(k), "key": encoded(k), "value": encoded(v), "bad": encoded(corrupted(v))}
+                for k, v in args.items()] if isinstance(args, dict) else None
+        return {n: fields[n] for n in ("name", "name_json", "has_name", "arguments")} | {"args": args}
 
+    @F.arrow_udf(_PARTS_TYPE)
+    def run(completions: pa.Array) -> pa.Array:
+        return pa.array([parts(t) for t in completions.to_pylist()], _PARTS_ARROW)
 
-def _object_json(keys: Column, value_of) -> Column:
-    return F.concat(F.lit("{"), F.array_join(
-        F.transform(keys, lambda k: F.concat(json_string(k), F.lit(": "), value_of(k))), ", "), F.lit("}"))
+    return run(completion)
 
 
-def _arguments_text(call: Column) -> Column:
-    """JSON text of ``call.get("arguments", {})`` whatever its type."""
-    raw = F.get_json_object(call, "$.arguments")
-    typ = F.schema_of_variant(F.try_variant_get(F.try_parse_json(call), "$.arguments", "variant"))
-    return (F.when(typ == "STRING", json_string(raw)).when(typ == "VOID", F.lit("null"))
-            .when(raw.isNull(), F.lit("{}")).otherwise(raw))
+def _object_json(args: Column, field: str) -> Column:
+    return F.concat(F.lit("{"), F.array_join(F.transform(args, lambda a: F.concat(a["key"], F.lit(": "), a[field])), ", "), F.lit("}"))
 
 
 def _call_json(name_json: Column, args_json: Column) -> Column:
-    return py_json_style(F.concat(F.lit('{"name": '), name_json, F.lit(', "arguments": '), args_json, F.lit("}")))
+    return F.concat(F.lit('{"name": '), name_json, F.lit(', "arguments": '), args_json, F.lit("}"))
 
 
 def strategy_candidates(df: DataFrame, seed: int = 42, key: str = "example_id",
                         completion: str = "completion", available: str = "available_functions") -> tuple[DataFrame, dict[str, Column]]:
     """The rows with a call and an ``_ok_<strategy>`` flag each, and the rejection of each strategy, not yet computed."""
-    call = F.col("_call")
     k = F.col(key)
-    out = df.withColumn("_call", parse_call(F.col(completion), "pairs"))
-    out = keep_where(out, F.col("_call").isNotNull())
-    text_map, typed_map = _args_parts(call)
+    out = keep_where(df.withColumn("_call", call_parts(F.col(completion))), F.col("_call").isNotNull())
+    name, args = F.col("_call.name"), F.col("_call.args")
     avail = F.coalesce(F.col(available), F.array().cast("array<string>"))
-    out = out.withColumn("_args", text_map).withColumn("_types", typed_map) \
-             .withColumn("_has_name", json_has_keys(call, "name")) \
-             .withColumn("_name", F.get_json_object(call, "$.name"))
-    out = out.withColumn("_alts", F.filter(avail, lambda f: ~f.eqNullSafe(F.col("_name"))))
-    args, types = F.col("_args"), F.col("_types")
-    keys = F.map_keys(args)
-    name = F.col("_name")
+    out = out.withColumn("_alts", F.filter(avail, lambda f: ~f.eqNullSafe(F.when(F.col("_call.has_name"), name))))
 
     # E3 wrong_function: another available name, arguments kept as they are.
     alts = F.col("_alts")
     pick = F.element_at(alts, (_draw(seed, "wrong_function", k) % F.greatest(F.size(alts), F.lit(1)) + 1).cast("int"))
     wf_ok = F.size(alts) > 0
-    wf = _call_json(json_string(pick), _arguments_text(call))
+    wf = _call_json(json_string(pick), F.col("_call.arguments"))
 
     # E4 wrong_params: corrupt every value, keep name and key order.
-    obj_ok = F.col("_has_name") & args.isNotNull()
-    wp_ok = obj_ok & (F.size(keys) > 0)
-    wp = _call_json(json_string(name), _object_json(
-        keys, lambda kk: _corrupt_value(F.element_at(args, kk), F.schema_of_variant(F.element_at(types, kk)))))
+    obj_ok = F.col("_call.has_name") & args.isNotNull()
+    wp_ok = obj_ok & (F.size(args) > 0)
+    wp = _call_json(F.col("_call.name_json"), _object_json(args, "bad"))
 
     # E5 missing_params: shuffle keys, keep max(1, n // 2), in shuffled order.
-    mp_ok = obj_ok & (F.size(keys) >= 2)
-    shuffled = F.transform(F.array_sort(F.transform(keys, lambda kk: F.struct(
-        _draw(seed, "missing_params", k, kk).alias("h"), kk.alias("k")))), lambda s: s["k"])
-    kept = F.slice(shuffled, 1, F.greatest(F.lit(1), F.floor(F.size(keys) / 2).cast("int")))
-    mp = _call_json(json_string(name), _object_json(
-        kept, lambda kk: _value_json(F.element_at(args, kk), F.schema_of_variant(F.element_at(types, kk)))))
+    mp_ok = obj_ok & (F.size(args) >= 2)
+    shuffled = F.transform(F.array_sort(F.transform(args, lambda a: F.struct(
+        _draw(seed, "missing_params", k, a["k"]).alias("h"), a["k"].alias("k"), a.alias("a")))), lambda s: s["a"])
+    kept = F.slice(shuffled, 1, F.greatest(F.lit(1), F.floor(F.size(args) / 2).cast("int")))
+    mp = _call_json(F.col("_call.name_json"), _object_json(kept, "value"))
 
     # E6 hallucinate: one of the fixed names, constant arguments, always applicable.
     names = F.array(*[F.lit(n) for n in HALLUCINATED_NAMES])
@@ -191,7 +167,7 @@ def pair_examples(corpus: DataFrame, prompt_fn=None) -> DataFrame:
     return rows.select(
         "example_id",
         prompt_fn(F.col("functions"), F.col("turns")).alias("prompt"),
-        py_json_style(canonical_json(F.element_at("function_calls", 1))).alias("completion"),
+        py_json(F.element_at("function_calls", 1)).alias("completion"),
         function_names(F.col("functions")).alias("available_functions"),
     )
 

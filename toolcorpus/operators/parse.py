@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from toolcorpus.functions.braces import tagged_objects, top_level_objects
-from toolcorpus.functions.calls import first_match
-from toolcorpus.functions.jsonx import is_json, json_has_keys
+from toolcorpus.functions.braces import found_objects, objects_with, tagged_object
+from toolcorpus.functions.calls import tagged
+from toolcorpus.functions.jsonx import names_of
+from toolcorpus.functions.permute import permuted
 from toolcorpus.functions.rand import HASH_RANGE, stable_hash
 from toolcorpus.functions.rows import keep_where
 from toolcorpus.functions.text import py_strip, remove_suffix
+from toolcorpus.operators.scan import row_numbers
+from toolcorpus.plans.stages import materialize
 
 # --- fixed values: role markers and their roles -------------------------------
 MARKERS = (("USER:", "user"), ("ASSISTANT:", "assistant"), ("FUNCTION RESPONSE:", "tool"))
@@ -25,12 +27,12 @@ TURN_TYPE = "array<struct<role:string,content:string>>"
 
 def extract_schemas(system: Column) -> Column:
     """B1: top-level ``{...}`` objects of the system text, of any depth, that decode with ``name`` and ``description``."""
-    return F.filter(top_level_objects(system), lambda x: json_has_keys(x, "name", "description"))
+    return objects_with(system, "name", "description")
 
 
 def function_names(functions: Column) -> Column:
     """``name`` of each schema, ``""`` when missing."""
-    return F.transform(functions, lambda x: F.coalesce(F.get_json_object(x, "$.name"), F.lit("")))
+    return names_of(functions)
 
 
 def parse_turns(chat: Column) -> Column:
@@ -59,11 +61,7 @@ def extract_calls(turns: Column, mode: str = "balanced") -> Column:
     calls whose arguments are objects fail to decode and are dropped.
     """
     assistant = F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["content"])
-    if mode == "balanced":
-        found = tagged_objects(assistant, CALL_TAG)
-    else:
-        found = F.transform(assistant, lambda t: first_match(t, CALL_TAG + r"\s*(\{.*?\})"))
-    return F.filter(found, lambda c: is_json(c))
+    return found_objects(assistant, (lambda t: tagged_object(t, CALL_TAG)) if mode == "balanced" else tagged)
 
 
 def read_dialogues_columns(df: DataFrame) -> DataFrame:
@@ -126,59 +124,19 @@ def split_corpus(df: DataFrame, ratio: float = 0.05, seed: int = 42, mode: str =
     """Add ``split`` in {train, validation}.
 
     ``hash``: validation when ``h/2^32 < ratio`` - no shuffle, stable when rows are appended.
-    ``exact``: exactly ``ceil(n * ratio)`` validation rows, the smallest ``(h, key)``;
-    the cut-off is found with two bounded histograms (2^16 buckets each), never
-    a global sort or a single-partition window over the data.
+    ``exact``: exactly ``ceil(n * ratio)`` validation rows. Rows are numbered in the
+    order of ``key`` (``operators.scan``, one shuffle by range), and a seeded
+    permutation of the numbers deals them out: row ``i`` is validation if
+    ``perm(i) < ceil(n * ratio)``. Which rows are chosen depends on the keys and the seed
+    alone; rows with equal or null keys are numbered in any order. The rows are
+    written once before they are numbered, so a parse does not run again.
     """
-    h = split_draw(seed, key)
     if mode == "hash":
-        cut = (h.cast("double") / float(HASH_RANGE)) < F.lit(float(ratio))
+        cut = (split_draw(seed, key).cast("double") / float(HASH_RANGE)) < F.lit(float(ratio))
         return df.withColumn("split", F.when(cut, "validation").otherwise("train"))
     if mode != "exact":
         raise ValueError(f"unknown split mode {mode!r}")
-    # Ties in (h, key) could not be cut exactly, so the key must be unique.
-    if df.groupBy(key).count().where((F.col("count") > 1) | F.col(key).isNull()).limit(1).count():
-        raise ValueError(f"an exact split needs unique, non-null values of {key!r}")
-    # Narrow (key, h) projection, persisted for the counting passes only.
-    keyed = df.select(F.col(key).alias("_key"), h.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        h_star, key_star = _exact_cutoff(keyed, ratio)
-    finally:
-        keyed.unpersist()
-    if h_star is None:
-        return df.withColumn("split", F.lit(key_star))
-    val = (h < F.lit(h_star)) | ((h == F.lit(h_star)) & (F.col(key) <= F.lit(key_star)))
-    return df.withColumn("split", F.when(val, "validation").otherwise("train"))
-
-
-def _exact_cutoff(keyed: DataFrame, ratio: float):
-    """(h*, key*) such that validation = rows with (h, key) <= (h*, key*); exactly ceil(n*ratio) rows."""
-    n = keyed.count()
-    k = math.ceil(n * ratio)
-    if k <= 0:
-        return None, "train"
-    if k >= n:
-        return None, "validation"
-    bucket, k_in = _select_bucket(keyed.groupBy(F.shiftright(F.col("_h"), 16).alias("b")).count(), k)
-    lo, r = _select_bucket(keyed.where(F.shiftright(F.col("_h"), 16) == bucket)
-                           .groupBy((F.col("_h") % 65536).alias("b")).count(), k_in)
-    h_star = bucket * 65536 + lo
-    # rows sharing h* are hash collisions (expected ~n/2^32): order them by key
-    ties = keyed.where(F.col("_h") == h_star).select("_key")
-    key_star = ties.select(F.row_number().over(Window.orderBy("_key")).alias("_r"), "_key") \
-        .where(F.col("_r") == r).first()["_key"]
-    return h_star, key_star
-
-
-def _select_bucket(hist: DataFrame, k: int) -> tuple[int, int]:
-    """Bucket holding the k-th smallest row, and the rank of that row inside it.
-
-    ``hist`` has at most 65,536 rows by construction (16-bit buckets).
-    """
-    rows = sorted((r["b"], r["count"]) for r in hist.collect())
-    seen = 0
-    for b, c in rows:
-        if seen + c >= k:
-            return int(b), k - seen
-        seen += c
-    raise AssertionError("histogram smaller than k")
+    rows = row_numbers(materialize(df, "split-rows"), [key], "__i", tie=F.monotonically_increasing_id())
+    n = rows.count()
+    chosen = permuted(F.col("__i"), n, seed) < math.ceil(n * ratio)
+    return rows.withColumn("split", F.when(chosen, "validation").otherwise("train")).drop("__i")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, insort
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from toolcorpus.functions.jsonx import canonical_json, py_json_style
-from toolcorpus.functions.rand import stable_hash
+from toolcorpus.functions.jsonx import py_json_list
 from toolcorpus.functions.text import py_split
+from toolcorpus.functions.tokens import Tokenizer, first_tokens, token_count
+from toolcorpus.operators.scan import prefix_scan, row_numbers
+from toolcorpus.plans.stages import materialize
 
 # --- fixed values (literal texts of the original prompts) ---------------------
 NO_FUNCTIONS_PROMPT = "You are a helpful assistant."
@@ -39,11 +42,9 @@ def pretty_functions(functions: pd.Series) -> pd.Series:
 
 
 def system_prompt(functions: Column, mode: str = "pretty") -> Column:
-    """C1. ``compact``: schemas as ``json.dumps(functions)`` (pure SQL);
-    ``pretty`` (default): ``json.dumps(functions, indent=2)`` via an Arrow UDF."""
+    """C1. ``compact``: schemas as ``json.dumps(functions)``; ``pretty`` (default): with ``indent=2``."""
     if mode == "compact":
-        body = F.concat(F.lit("["), F.array_join(F.transform(functions, lambda x: py_json_style(canonical_json(x))),
-                                                  ", "), F.lit("]"))
+        body = py_json_list(functions)
     elif mode == "pretty":
         body = pretty_functions(functions)
     else:
@@ -110,30 +111,119 @@ def preview_prompt(user_message: Column, functions: Column, mode: str = "pretty"
                     F.lit(IM_START + "assistant\n" + IM_END + "\n"), F.lit(IM_START + "assistant\n"))
 
 
-def cap_length(df: DataFrame, col: str, max_tokens: int, out: str | None = None) -> DataFrame:
-    """C9 (re-aimed): keep the first ``max_tokens`` whitespace tokens; adds ``n_tokens`` and ``truncated``."""
-    toks = py_split(F.col(col))
+def _n_tokens(text: Column, tokenizer: Tokenizer | None) -> Column:
+    return (F.size(py_split(text)) if tokenizer is None else token_count(text, tokenizer)).cast("bigint")
+
+
+def cap_length(df: DataFrame, col: str, max_tokens: int, out: str | None = None, tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Keep the first ``max_tokens`` tokens of ``col``; adds ``n_tokens`` and ``truncated``.
+
+    Tokens are runs without white space, or those of ``tokenizer``
+    (``functions.tokens``). The kept text is the text up to the end of the last
+    kept token, its own white space and all.
+    """
     out = out or col
-    # The text up to the end of the last kept token, its own white space and all.
-    kept = F.regexp_extract(F.col(col), rf"(?sU)^(?:[\s\x{{1c}}-\x{{1f}}]*+[^\s\x{{1c}}-\x{{1f}}]++){{{int(max_tokens)}}}", 0)
-    return df.withColumn("n_tokens", F.size(toks).cast("bigint")) \
+    if tokenizer is None:
+        # Possessive throughout: no state is kept for each of the tokens.
+        ws = r"[\s\x{1c}-\x{1f}]"
+        kept = F.regexp_extract(F.col(col), rf"(?sU)^(?:{ws}*+[^\s\x{{1c}}-\x{{1f}}]++){{{int(max_tokens)}}}+", 0)
+    else:
+        kept = first_tokens(F.col(col), int(max_tokens), tokenizer)
+    return df.withColumn("n_tokens", _n_tokens(F.col(col), tokenizer)) \
              .withColumn("truncated", F.col("n_tokens") > max_tokens) \
              .withColumn(out, F.when(F.col("truncated"), kept).otherwise(F.col(col)))
 
 
 def pack_sequences(df: DataFrame, max_tokens: int, key: str = "example_id", text: str = "text",
-                   shards: int = 64, seed: int = 42) -> DataFrame:
-    """C10 (re-aimed): texts joined end to end in ``key`` order and cut into bins of ``max_tokens`` whitespace tokens.
+                   tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Texts joined end to end in the order of ``key`` and cut into bins of ``max_tokens`` tokens.
+
+    Output: (bin_id, example_id, offset, n_tokens); a text starts in ``bin_id`` at
+    ``offset`` and runs over into the next bins. Where it starts is the sum of
+    the tokens before it, a running total over the whole table without a task
+    that sees all of it (``operators.scan``); the layout is the same for any
+    partitions. Keys should differ; rows with equal keys come in any order.
+    """
+    lens = df.select(F.col(key), F.coalesce(_n_tokens(F.col(text), tokenizer), F.lit(0)).alias("n_tokens"))
+    placed = prefix_scan(materialize(lens, "pack-lengths"), [key], "n_tokens", "__start", tie=F.monotonically_increasing_id())
+    return placed.select(F.floor(F.col("__start") / max_tokens).cast("bigint").alias("bin_id"), key,
+                         (F.col("__start") % max_tokens).alias("offset"), "n_tokens")
+
 
-    Rows are hashed over ``shards`` sequences that are packed on their own; the
-    number is a parameter (raise it with the data), so adding a row changes its
-    own shard only. Output: (bin_id, example_id, offset, n_tokens), where a text
-    starts in ``bin_id`` at ``offset`` and runs over into the next bins.
+def packing_plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Best fit, longest first, for ``counts`` rows of each length: ``(length, from, to, first_bin, per_bin, offset)``.
+
+    Rows number ``from`` to ``to - 1`` of a length go ``per_bin`` to a bin, from ``first_bin`` on,
+    the first of a bin at ``offset``. Bins that are filled alike are held as one
+    range under their free space, so the work grows with the number of
+    different lengths, not with the rows.
+    """
+    free: dict[int, list[tuple[int, int]]] = {}  # free space -> ranges (first bin, bins)
+    spaces: list[int] = []  # the free spaces there are, in order
+    out, bins = [], 0
+
+    def add(space: int, first: int, n: int) -> None:
+        if n and space:
+            if space not in free:
+                free[space] = []
+                insort(spaces, space)
+            free[space].append((first, n))
+
+    for length in sorted(counts, reverse=True):
+        done, left = 0, counts[length]
+        while left:
+            at = bisect_left(spaces, length)
+            if at < len(spaces):
+                space = spaces[at]
+                first, n = free[space].pop()
+                if not free[space]:
+                    del free[space]
+                    spaces.pop(at)
+            else:
+                space, first, n = capacity, bins, -(-left // (capacity // length))
+                bins += n
+            per = space // length  # the tightest bin stays the tightest until the length no longer fits
+            placed = min(left, n * per)
+            out.append((length, done, done + placed, first, per, capacity - space))
+            full, rest = divmod(placed, per)
+            add(space - per * length, first, full)
+            if rest:
+                add(space - rest * length, first + full, 1)
+            untouched = full + bool(rest)
+            add(space, first + untouched, n - untouched)
+            done, left = done + placed, left - placed
+    return out
+
+
+def pack_whole(df: DataFrame, max_tokens: int, key: str = "example_id", text: str = "text",
+               tokenizer: Tokenizer | None = None) -> DataFrame:
+    """Rows packed whole into bins of ``max_tokens`` tokens: (bin_id, example_id, offset, n_tokens, truncated).
+
+    Best fit with the longest rows first, so at most 11/9 of the fewest bins
+    possible (and one). A row longer than a bin counts as ``max_tokens``, to
+    which ``cap_length`` cuts it, and is ``truncated``. A row without tokens
+    takes no room: bin 0, offset 0. The layout depends on keys and
+    lengths alone; rows with equal keys and lengths come in any order.
+
+    The plan is made from the number of rows of each length, ``max_tokens``
+    numbers at most whatever the size of the table. A row's place follows from
+    its number among the rows of its length, by ``operators.scan``.
     """
-    lens = df.select(F.col(key).cast("bigint").alias(key), F.size(py_split(F.col(text))).cast("bigint").alias("n_tokens"),
-                     (stable_hash(seed, "pack", F.col(key)) % shards).cast("bigint").alias("shard"))
-    before = Window.partitionBy("shard").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum("n_tokens").over(before), F.lit(0))
-    return lens.withColumn("start", start).select(
-        F.concat_ws("-", F.col("shard"), F.floor(F.col("start") / max_tokens).cast("bigint")).alias("bin_id"),
-        key, (F.col("start") % max_tokens).alias("offset"), "n_tokens")
+    lens = df.select(F.col(key), F.coalesce(_n_tokens(F.col(text), tokenizer), F.lit(0)).alias("__n"))
+    lens = materialize(lens.select(key, F.least("__n", F.lit(max_tokens)).cast("bigint").alias("n_tokens"),
+                                   (F.col("__n") > max_tokens).alias("truncated")), "pack-lengths")
+    counts = {r["n_tokens"]: r["count"] for r in lens.groupBy("n_tokens").count().collect()}  # at most max_tokens + 1 rows
+    plan: dict[int, list[tuple]] = {}
+    for length, *piece in packing_plan({k: n for k, n in counts.items() if k}, max_tokens):
+        plan.setdefault(length, []).append(tuple(piece))
+    before, starts = 0, {}
+    for length in sorted(counts):
+        starts[length], before = before, before + counts[length]
+    kind = "n_tokens bigint, __first bigint, __plan array<struct<a:bigint,b:bigint,bin:bigint,per:bigint,at:bigint>>"
+    pieces = df.sparkSession.createDataFrame([(k, starts[k], plan.get(k, [(0, counts[k], 0, counts[k], 0)])) for k in counts], kind)
+    placed = row_numbers(lens, ["n_tokens", key], "__i", tie=F.monotonically_increasing_id()).join(F.broadcast(pieces), "n_tokens")
+    placed = placed.withColumn("__i", F.col("__i") - F.col("__first"))
+    mine = F.get(F.filter("__plan", lambda p: (p["a"] <= F.col("__i")) & (F.col("__i") < p["b"])), F.lit(0))
+    placed = placed.withColumn("__p", mine).withColumn("__j", F.col("__i") - F.col("__p.a"))
+    return placed.select((F.col("__p.bin") + F.floor(F.col("__j") / F.col("__p.per"))).cast("bigint").alias("bin_id"), key,
+                         (F.col("__p.at") + F.col("__j") % F.col("__p.per") * F.col("n_tokens")).alias("offset"), "n_tokens", "truncated")

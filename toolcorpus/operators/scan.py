@@ -30,30 +30,30 @@ def prefix_scan(df: DataFrame, order: Sequence[str | Column], value: str | Colum
     spark = df.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = [F.col(o) if isinstance(o, str) else o for o in order] + ([] if tie is None else [tie])
-    names = [f"__o{i}" for i in range(len(keys))]
+    names = [f"__scan_o{i}" for i in range(len(keys))]
     rows = df.select("*", *[k.alias(n) for n, k in zip(names, keys, strict=True)],
-                     *([] if value is None else [F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0)).alias("__v")]))
+                     *([] if value is None else [F.coalesce(F.col(value) if isinstance(value, str) else value, F.lit(0)).alias("__scan_v")]))
     at = F.monotonically_increasing_id()
-    rows = rows.repartitionByRange(ranges, *names).sortWithinPartitions(*names).drop(*names).withColumn("__at", at)
-    rows = materialize(rows.withColumn("__range", F.shiftright("__at", _ROW_BITS)), "scan")
-    total = F.count("*") if value is None else F.sum("__v")
+    rows = rows.repartitionByRange(ranges, *names).sortWithinPartitions(*names).drop(*names).withColumn("__scan_at", at)
+    rows = materialize(rows.withColumn("__scan_range", F.shiftright("__scan_at", _ROW_BITS)), "scan")
+    total = F.count("*") if value is None else F.sum("__scan_v")
     # One row per range, so the driver sees as many as there are ranges.
-    totals = sorted((r["__range"], r["t"]) for r in rows.groupBy("__range").agg(total.alias("t")).collect())
+    totals = sorted((r["__scan_range"], r["t"]) for r in rows.groupBy("__scan_range").agg(total.alias("t")).collect())
     start, starts = 0, []
     for r, t in totals:
         starts.append((r, start))
         start = start + t
     if not starts:
-        return rows.drop("__at", "__range", "__v").withColumn(out, F.lit(0).cast("bigint"))
-    kind = "bigint" if value is None else next(f.dataType.simpleString() for f in rows.agg(F.sum("__v").alias("s")).schema)
-    offsets = F.broadcast(spark.createDataFrame([(int(r), s) for r, s in starts], f"__range bigint, __start {kind}"))
+        return rows.drop("__scan_at", "__scan_range", "__scan_v").withColumn(out, F.lit(0).cast("bigint"))
+    kind = "bigint" if value is None else next(f.dataType.simpleString() for f in rows.agg(F.sum("__scan_v").alias("s")).schema)
+    offsets = F.broadcast(spark.createDataFrame([(int(r), s) for r, s in starts], f"__scan_range bigint, __scan_start {kind}"))
     if value is None:
-        inside = F.col("__at") - F.shiftleft("__range", _ROW_BITS)
+        inside = F.col("__scan_at") - F.shiftleft("__scan_range", _ROW_BITS)
     else:
-        before = Window.partitionBy("__range").orderBy("__at").rowsBetween(Window.unboundedPreceding, -1)
-        inside = F.coalesce(F.sum("__v").over(before), F.lit(0))
-    rows = rows.withColumn("__in", inside).join(offsets, "__range")
-    return rows.withColumn(out, (F.col("__start") + F.col("__in")).cast(kind)).drop("__at", "__range", "__v", "__in", "__start")
+        before = Window.partitionBy("__scan_range").orderBy("__scan_at").rowsBetween(Window.unboundedPreceding, -1)
+        inside = F.coalesce(F.sum("__scan_v").over(before), F.lit(0))
+    rows = rows.withColumn("__scan_in", inside).join(offsets, "__scan_range")
+    return rows.withColumn(out, (F.col("__scan_start") + F.col("__scan_in")).cast(kind)).drop("__scan_at", "__scan_range", "__scan_v", "__scan_in", "__scan_start")
 
 
 def row_numbers(df: DataFrame, order: Sequence[str | Column], out: str = "row_number", ranges: int | None = None,

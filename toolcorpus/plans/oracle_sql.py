@@ -236,7 +236,7 @@ for _k, _v in _PRED.items():
 
 
 def with_fixture(body: str) -> str:
-    return "WITH " + FIXTURE.strip() + ",\n" + body
+    return "WITH RECURSIVE " + FIXTURE.strip() + ",\n" + body
 
 
 # -- prompt rendering ----------------------------------------------------------
@@ -317,11 +317,27 @@ FROM tc_corpus WHERE num_calls > 0""")
 
 ORACLE["split_hash_lazy"] = _q(_LAZY + f""" SELECT example_id,
   CASE WHEN {_SPLIT_H}::DOUBLE / 4294967296.0 < 0.05 THEN 'validation' ELSE 'train' END AS split FROM lk WHERE call_idx = 0""")
-_EXACT = f"""sx AS (
-  SELECT example_id, row_number() OVER (ORDER BY {_SPLIT_H}, example_id) AS rn, count(*) OVER () AS n
-  FROM tc_corpus WHERE num_calls > 0
+
+
+def _feistel() -> str:
+    """One way through the network for ``x`` on a rectangle of sides a and b, as nested selects."""
+    out = "SELECT *, x % a AS l0, x // a AS r0 FROM walk WHERE step = 0 OR x >= n"
+    for r in range(1, 4):
+        out = f"SELECT *, (l{r - 1} + {h(chr(39) + '42' + chr(39), repr('permute'), str(r), repr('right'), f'r{r - 1}')}) % a AS l{r} FROM ({out})"
+        out = f"SELECT *, (r{r - 1} + {h(chr(39) + '42' + chr(39), repr('permute'), str(r), repr('left'), f'l{r}')}) % b AS r{r} FROM ({out})"
+    return out
+
+
+_EXACT = f"""sn AS (
+  SELECT example_id, row_number() OVER (ORDER BY example_id) - 1 AS i, count(*) OVER () AS n FROM tc_corpus WHERE num_calls > 0
+),
+sx AS (SELECT *, ceil(sqrt(n))::BIGINT AS a, ceil(n / ceil(sqrt(n)))::BIGINT AS b FROM sn),
+walk AS (
+  SELECT example_id, n, a, b, i AS x, 0 AS step FROM sx
+  UNION ALL SELECT example_id, n, a, b, r3 * a + l3, step + 1 FROM ({_feistel()})
 ),
-sp AS (SELECT example_id, CASE WHEN rn <= ceil(n * 0.05) THEN 'validation' ELSE 'train' END AS split FROM sx)"""
+sp AS (SELECT example_id, CASE WHEN x < ceil(n * 0.05) THEN 'validation' ELSE 'train' END AS split
+  FROM walk WHERE step > 0 AND x < n)"""
 ORACLE["split_exact"] = _q(_EXACT + " SELECT example_id, split FROM sp")
 ORACLE["corpus_stats"] = _q(_EXACT + " SELECT split, CAST(count(*) AS BIGINT) AS n_rows FROM sp GROUP BY split")
 
@@ -594,16 +610,20 @@ ORACLE["cap_length"] = _q(chatml("true") + """, tk AS (
 SELECT example_id, CAST(len(toks) AS BIGINT) AS n_tokens, len(toks) > 64 AS truncated,
   CASE WHEN len(toks) > 64 THEN regexp_extract(text, '^(?:\\s*\\S+){64}') ELSE text END AS text FROM tk""")
 
-ORACLE["pack_sequences"] = _q(chatml("true") + f""", tk AS (
-  SELECT example_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda q: q <> '')) AS BIGINT) AS n_tokens,
-         {h("'42'", "'pack'", "example_id::VARCHAR")} % 64 AS shard FROM tc_text),
-st AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY shard ORDER BY example_id
-         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tk)
-SELECT shard || '-' || (start // 2048) AS bin_id, example_id, CAST(start % 2048 AS BIGINT) AS "offset", n_tokens FROM st""")
+ORACLE["cap_length_2048"] = _q(chatml("true") + """, tk AS (
+  SELECT example_id, text, list_filter(string_split_regex(text, '\\s+'), lambda q: q <> '') AS toks FROM tc_text),
+-- The pattern engine repeats a thousand times at most, so the text is cut three times.
+c1 AS (SELECT *, regexp_extract(text, '^(?:\\s*\\S+){1000}') AS p1 FROM tk),
+c2 AS (SELECT *, regexp_extract(substr(text, length(p1) + 1), '^(?:\\s*\\S+){1000}') AS p2 FROM c1)
+SELECT example_id, CAST(len(toks) AS BIGINT) AS n_tokens, len(toks) > 2048 AS truncated, CASE WHEN len(toks) > 2048
+  THEN p1 || p2 || regexp_extract(substr(text, length(p1) + length(p2) + 1), '^(?:\\s*\\S+){48}') ELSE text END AS text FROM c2""")
 
-_COMPARED = _SCORES.replace("FROM tc_eval\n", "FROM (SELECT model, example_id, CASE WHEN example_id % 13 = 0 THEN '' ELSE prediction END "
-                            "AS prediction, reference, allowed_functions FROM tc_eval)\n")
-ORACLE["compare_models"] = _q(_COMPARED + " SELECT * FROM metrics")
+ORACLE["pack_sequences"] = _q(chatml("true") + """, tk AS (
+  SELECT example_id, CAST(len(list_filter(string_split_regex(text, '\\s+'), lambda q: q <> '')) AS BIGINT) AS n_tokens FROM tc_text),
+st AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY example_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM tk)
+SELECT start // 2048 AS bin_id, example_id, CAST(start % 2048 AS BIGINT) AS "offset", n_tokens FROM st""")
+
+ORACLE["compare_models"] = _q(_SCORES + " SELECT * FROM metrics")
 ORACLE["metrics_wide"] = _q(_SCORES + " SELECT * EXCLUDE (n) FROM metrics")
 
 _DRAWN = "[" + ", ".join(f"'{s}'" for s in STRATEGIES) + "][" + h(_S, "'choice'", "example_id::VARCHAR") + " % 4 + 1]"
@@ -627,3 +647,55 @@ ORACLE["read_report"] = _q(_SCORES + f" SELECT model, metric, {r6('value')} AS v
 ORACLE["experiment_configs"] = _q(_SCORES + f""" SELECT model, 'rates' AS section, metric AS key, {r6('value')} AS value
 FROM mlong WHERE metric IN ('valid_json_rate', 'rouge_l') UNION ALL SELECT model, '', 'examples', n::DOUBLE FROM metrics""")
 ORACLE["read_pairs"] = ORACLE["build_pairs"]
+
+ORACLE["metrics_merged"] = ORACLE["metrics_report"]
+
+ORACLE["wall_time"] = """
+WITH e AS (SELECT event_type AS model, epoch_ms(ts::TIMESTAMP) AS a, epoch_ms(ts::TIMESTAMP) + round(value * 1000)::BIGINT AS b FROM events),
+s AS (SELECT *, max(b) OVER (PARTITION BY model ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e WHERE b > a),
+i AS (SELECT *, sum((seen IS NULL OR a > seen)::INT) OVER (PARTITION BY model ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM s),
+u AS (SELECT model, sum(len) AS ms FROM (SELECT model, max(b) - min(a) AS len FROM i GROUP BY model, island) GROUP BY model),
+c AS (SELECT model, count(*) AS n FROM e GROUP BY model)
+SELECT c.model, c.n, round(coalesce(u.ms, 0) / 1000.0, 1) AS busy_s, round(coalesce(c.n / nullif(u.ms / 1000.0, 0), 0.0), 1) AS throughput_sps
+FROM c LEFT JOIN u ON c.model IS NOT DISTINCT FROM u.model
+"""
+
+ORACLE["head_source_order"] = """
+SELECT * FROM (SELECT event_id, event_type, row_number() OVER () - 1 AS row_no FROM events) WHERE row_no < 25
+"""
+ORACLE["align_positional"] = """
+WITH c AS (SELECT conv_id, turn, row_number() OVER () - 1 AS row_no FROM conversations),
+e AS (SELECT event_id, row_number() OVER () - 1 AS row_no FROM events)
+SELECT row_no, conv_id, turn, event_id FROM c JOIN e USING (row_no)
+"""
+
+ORACLE["sft_dataset"] = _q(_EXACT + ", " + chatml("true").strip().rstrip(",")
+                           + " SELECT x.example_id, x.text FROM tc_text x JOIN sp ON sp.example_id = x.example_id WHERE sp.split = 'train'")
+
+_CHAIN_INPUT = """, px AS (
+  SELECT c.example_id, CASE WHEN c.num_turns > 1 THEN x.text ELSE '' END AS prompt,
+    (SELECT k.call FROM tc_calls_of k WHERE k.example_id = c.example_id AND k.call_idx = 0) AS completion, c.tool_names AS available_functions
+  FROM tc_corpus c JOIN tc_text x ON x.example_id = c.example_id JOIN sp ON sp.example_id = c.example_id WHERE sp.split = 'train'), """
+ORACLE["preference_dataset"] = _q(_EXACT + ", " + chatml("true", "AND t.turn_idx < c.num_turns - 1").strip() + _CHAIN_INPUT
+                                  + _PAIRS.replace("FROM tc_pair_input", "FROM px") + " SELECT * FROM pairs")
+
+_EVALUATED = f"""{_EXACT},
+ve AS (
+  SELECT m.model, s.example_id, CASE WHEN m.model = 'silent' THEN 'no call' WHEN len(c.tool_names) > 0
+           THEN '{{"name": "' || c.tool_names[1] || '", "arguments": {{}}}}' ELSE 'no tool' END AS prediction,
+    coalesce((SELECT k.call FROM tc_calls_of k WHERE k.example_id = s.example_id AND k.call_idx = 0), '') AS reference,
+    c.tool_names AS allowed_functions
+  FROM sp s JOIN tc_corpus c ON c.example_id = s.example_id CROSS JOIN (VALUES ('first_tool'), ('silent')) m(model)
+  WHERE s.split = 'validation'
+),
+"""
+ORACLE["run_evaluation"] = _q(_EVALUATED + _SCORES.replace("FROM tc_eval\n", "FROM ve\n") + " SELECT * FROM metrics")
+
+ORACLE["refresh_corpus"] = _q("""x AS (SELECT 1)
+SELECT example_id, CAST(num_turns AS BIGINT) AS num_turns, CAST(len(schemas) AS BIGINT) AS num_functions,
+       CAST(num_calls AS BIGINT) AS num_calls, num_calls > 0 AS has_function_call FROM tc_corpus""")
+
+ORACLE["observations"] = _q(_SCORES + """ SELECT row_number() OVER (ORDER BY model) - 1 AS idx, model || ': ' || n || ' examples' AS observation
+FROM metrics""")
+ORACLE["experiment_sections"] = _q(_SCORES + """ SELECT 'examples' AS section, model AS key, n::DOUBLE AS value FROM metrics
+UNION ALL SELECT 'valid_json', model, valid_json_rate FROM metrics""")

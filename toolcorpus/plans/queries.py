@@ -18,17 +18,23 @@ from toolcorpus.operators import prompts as PR
 from toolcorpus.operators import reports as R
 from toolcorpus.operators import scoring as S
 from toolcorpus.operators.extract import extraction_status, to_results
-from toolcorpus.plans.stages import shared_path
+from toolcorpus.plans.evaluation import run_evaluation
+from toolcorpus.plans.preference import preference_dataset
+from toolcorpus.plans.sft import build_corpus, sft_dataset
+from toolcorpus.plans.stages import materialize, shared_path
 from toolcorpus.sources import catalog as CAT
 from toolcorpus.sources import dialogues as DLG
 from toolcorpus.sources import experiment as EXP
 from toolcorpus.sources import fixtures as FX
+from toolcorpus.sources import positions as POS
+from toolcorpus.sources.incremental import read_refreshed, refresh_corpus
 
 SPLIT_RATIO = 0.05
 SEED = 42
 HEAD_ROWS = 25
 EVAL_SAMPLE = 1000
 CAP_TOKENS = 64
+MAX_TOKENS = 2048
 
 
 def _r6(c):
@@ -227,8 +233,7 @@ def q_pairs_drawn(spark, sf):
 
 def q_compare_models(spark, sf):
     rows = FX.eval_rows(spark, sf)
-    given = rows.where(F.col("example_id") % 13 != 0)
-    preds = {m: given.where(F.col("model") == m).select("example_id", "prediction") for m in ("base", "sft_lora", "dpo")}
+    preds = {m: rows.where(F.col("model") == m).select("example_id", "prediction") for m in ("base", "sft_lora", "dpo")}
     refs = rows.where(F.col("model") == "base").select("example_id", "reference", "allowed_functions")
     return S.compare_models(preds, refs)
 
@@ -294,9 +299,77 @@ def q_cap_length(spark, sf):
     return PR.cap_length(t, "text", CAP_TOKENS).select("example_id", "n_tokens", "truncated", "text")
 
 
+def q_cap_length_2048(spark, sf):
+    t = PR.sft_text(corpus(spark, sf)).select("example_id", "text")
+    return PR.cap_length(t, "text", MAX_TOKENS).select("example_id", "n_tokens", "truncated", "text")
+
+
 def q_pack_sequences(spark, sf):
     t = PR.sft_text(corpus(spark, sf)).select("example_id", "text")
-    return PR.pack_sequences(t, 2048)
+    return PR.pack_sequences(t, MAX_TOKENS)
+
+
+def q_pack_whole(spark, sf):
+    t = PR.sft_text(corpus(spark, sf)).select("example_id", "text")
+    return PR.pack_whole(t, MAX_TOKENS)
+
+
+def q_metrics_merged(spark, sf):
+    """States of the predictions by request, merged per model."""
+    parts = S.metric_state(_scores(spark, sf), ("model", "example_id"))
+    return S.round_report(S.finish_metrics(S.merge_states(parts)))
+
+
+def q_wall_time(spark, sf):
+    """Each event as a logged call that began at its time and took its value in seconds."""
+    ev = spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("event_type").alias("model"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ms"),
+        F.round(F.col("value") * 1000).cast("bigint").alias("took"))
+    return S.wall_time(ev.select("model", "start_ms", (F.col("start_ms") + F.col("took")).alias("end_ms")))
+
+
+# -- positions -------------------------------------------------------------------
+
+def q_head_source_order(spark, sf):
+    return POS.first_in_source_order(spark, f"{sf}/events.parquet", HEAD_ROWS, "event_id", "event_type")
+
+
+def q_align_positional(spark, sf):
+    said = POS.read_positioned(spark, f"{sf}/conversations.parquet", "conv_id", "turn")
+    return POS.align_positional(said, POS.read_positioned(spark, f"{sf}/events.parquet", "event_id"))
+
+
+# -- the chains end to end ---------------------------------------------------------
+
+def q_sft_dataset(spark, sf):
+    return sft_dataset(build_corpus(FX.raw_dialogues(spark, sf), SPLIT_RATIO, SEED))
+
+
+def q_preference_dataset(spark, sf):
+    return preference_dataset(build_corpus(FX.raw_dialogues(spark, sf), SPLIT_RATIO, SEED), SEED)
+
+
+def silent_predictor():
+    """Deterministic stand-in model that never calls a function."""
+    return lambda prompts: ["no call"] * len(prompts)
+
+
+def q_run_evaluation(spark, sf):
+    """Without the two columns of the clock."""
+    corpus_ = build_corpus(FX.raw_dialogues(spark, sf), SPLIT_RATIO, SEED)
+    metrics, _ = run_evaluation(corpus_, {"first_tool": first_tool_predictor, "silent": silent_predictor})
+    return metrics.drop("inference_time_s", "throughput_sps")
+
+
+def q_refresh_corpus(spark, sf):
+    """The corpus saved, then refreshed with the same dialogues."""
+    path = shared_path(spark, "refreshed-corpus")
+    raw = materialize(FX.raw_dialogues(spark, sf), "dialogues")
+    refresh_corpus(raw, path, buckets=16)
+    refresh_corpus(raw, path, buckets=16)
+    return read_refreshed(spark, path).select(
+        "example_id", F.col("num_turns").cast("bigint"), F.size("functions").cast("bigint").alias("num_functions"),
+        F.size("function_calls").cast("bigint").alias("num_calls"), "has_function_call")
 
 
 # -- sources and sinks: written to the shared folder, then read back ------------
@@ -344,6 +417,28 @@ def q_experiment_configs(spark, sf):
     return EXP.experiment_configs(spark, path).select("model", "section", "key", F.round(F.col("value").cast("double"), 6).alias("value"))
 
 
+def _experiment_document(spark, sf):
+    """An experiment document of the models' metrics: results, rates by model as sections, and one observation per model."""
+    path = shared_path(spark, "experiment")
+    m = _metrics(spark, sf)
+    said = F.concat(F.col("model"), F.lit(": "), F.col("n").cast("string"), F.lit(" examples"))
+    doc = m.agg(F.map_from_entries(F.collect_list(F.struct("model", F.struct("n")))).alias("results"),
+                F.map_from_entries(F.collect_list(F.struct("model", F.col("n").cast("string")))).alias("examples"),
+                F.map_from_entries(F.collect_list(F.struct("model", "valid_json_rate"))).alias("valid_json"),
+                F.transform(F.array_sort(F.collect_list(F.struct("model", said.alias("said")))), lambda x: x["said"]).alias("observations"))
+    doc.coalesce(1).write.json(path)  # one row per model
+    return path
+
+
+def q_observations(spark, sf):
+    return EXP.observations(spark, _experiment_document(spark, sf)).select(F.col("idx").cast("bigint"), "observation")
+
+
+def q_experiment_sections(spark, sf):
+    return EXP.experiment_sections(spark, _experiment_document(spark, sf)).select(
+        "section", "key", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
 def q_read_pairs(spark, sf):
     path = shared_path(spark, "pairs")
     DLG.write_pairs(E.build_pairs(FX.pair_input(spark, sf), SEED), path)
@@ -409,4 +504,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "read_report": q_read_report,
     "experiment_configs": q_experiment_configs,
     "read_pairs": q_read_pairs,
+    "cap_length_2048": q_cap_length_2048,
+    "pack_whole": q_pack_whole,
+    "metrics_merged": q_metrics_merged,
+    "wall_time": q_wall_time,
+    "head_source_order": q_head_source_order,
+    "align_positional": q_align_positional,
+    "sft_dataset": q_sft_dataset,
+    "preference_dataset": q_preference_dataset,
+    "run_evaluation": q_run_evaluation,
+    "refresh_corpus": q_refresh_corpus,
+    "observations": q_observations,
+    "experiment_sections": q_experiment_sections,
 }

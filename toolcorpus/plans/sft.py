@@ -19,7 +19,7 @@ def build_corpus(raw: DataFrame, ratio: float = 0.05, seed: int = 42, split_mode
     return materialize(corpus, "corpus", partition_by="split")
 
 
-def sft_dataset(corpus: DataFrame, split: str = "train", mode: str = "compact") -> DataFrame:
+def sft_dataset(corpus: DataFrame, split: str = "train", mode: str = "pretty") -> DataFrame:
     """C4 over one split (partition-pruned read)."""
     rows = corpus.where(F.col("split") == split)
     return PR.with_system_prompt(rows, mode).select(
