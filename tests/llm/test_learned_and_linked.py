@@ -141,6 +141,49 @@ def test_even_mixtures_of_languages_are_accepted(spark, frame):
     assert [r["doc_id"] for r in lang.accepted(rows, model).collect()] == [1]
 
 
+def invented(rng, alphabet):
+    """A language of its own: a lexicon of syllables over some letters."""
+    syllables = ["".join(rng.choice(alphabet) + rng.choice("aeiou")) for _ in range(14)]
+    lexicon = ["".join(rng.choice(syllables) for _ in range(rng.randrange(1, 4))) for _ in range(120)]
+    return lambda n: " ".join(rng.choice(lexicon) for _ in range(n))
+
+
+@pytest.mark.parametrize("n_labels", [1, 2, 4, 8])
+def test_stage_rejects_noise_and_unknown_letters_but_no_mixture(frame, n_labels):
+    rng = random.Random(n_labels)
+    said = [invented(rng, "".join(rng.sample("bcdfghjklmnpqrstvwxz", 5))) for _ in range(n_labels)]
+    learned = [(i, said[i % n_labels](60), f"l{i % n_labels}") for i in range(40 * n_labels)]
+    mixed = " ".join(s(12) for s in said)
+    shuffled = " ".join("".join(rng.sample(w, len(w))) for w in said[0](200).split() if len(w) > 4)
+    junk = [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randrange(4, 9))) for _ in range(40)), shuffled,
+            "Это русский текст, его букв никто не учил", "这是中文文本 没有学过", "αυτό είναι ελληνικά", "12 ?!", "", None]
+    good = [mixed, *(s(40) for s in said), *(s(400).upper() for s in said)]
+    rows = frame([(i, t, None, "x") for i, t in enumerate(good + junk)], "doc_id long, text string, lang string, txt string")
+    model = lang.fit(frame([(*r, "x") for r in learned], "doc_id long, text string, lang string, txt string"), key=F.col("doc_id"), other=True)
+    kept = lang.accepted(rows, model)
+    assert kept.columns == rows.columns and {r["doc_id"] for r in kept.collect()} == set(range(len(good)))
+    assert lang.accepted(rows, lang.fit(rows, other=True)).count() == 0
+    assert lang.accepted(rows.limit(0), model).count() == 0
+
+
+def test_more_labels_than_are_learned_leave_the_rarest_out(frame, monkeypatch):
+    monkeypatch.setattr(lang, "MAX_LANGUAGES", 2)
+    rows = frame([(i, "ab cd ef", f"l{min(i % 5, 2)}") for i in range(30)] + [(99, "gh", "rare")], "doc_id long, text string, lang string")
+    assert lang.fit(rows).labels == ["l0", "l2"]
+
+
+def test_a_row_repeated_many_times_is_one_document_and_a_hub_is_split(spark, frame):
+    from toolcorpus.llm.common import connected_components
+    from toolcorpus.llm.line_dedup import line_dedup
+
+    rows = frame([(7, "one line\nand two\nand three\nfour")] * 3000 + [(8, "x\none line\nand two\nand three")], "doc_id long, text string", 5)
+    got = line_dedup(rows).groupBy("doc_id", "text", "n_removed").count().collect()
+    assert sorted(map(tuple, got)) == [(7, "one line\nand two\nand three\nfour", 0, 3000), (8, "x", 3, 1)]
+    star = spark.range(1, 5000).select(F.lit(0).cast("bigint").alias("u"), F.col("id").alias("v"))
+    roots = connected_components(star).distinct()
+    assert roots.count() == 5000 and {r["root"] for r in roots.select("root").distinct().collect()} == {0}
+
+
 def test_code_switched_words_are_labelled_one_by_one(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     model = lang.fit(docs)

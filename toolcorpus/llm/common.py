@@ -72,10 +72,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.join(low, "u").where(F.col("v") > F.col("u"))
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are written first: the join then reads two plain exchanges, and a hub's rows can be split.
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc-low")
+        large = materialize(both.join(low, "u").where(F.col("v") > F.col("u"))
+                            .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "cc-large")
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc-low")
         small = (large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .where(F.col("u") != F.col("v")).union(low.toDF("u", "v")).distinct())
         e = materialize(small, "cc")

@@ -1,22 +1,30 @@
-"""Benchmark decontamination: q-gram filter over item-sized windows, unedited pieces of items, then exact edit distance."""
+"""Benchmark decontamination: CGK embedding of item-sized windows, bit-sampling LSH, then exact edit distance."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from toolcorpus.llm.common import packed
+from toolcorpus.llm.common import materialize, packed
 
 # Words that may differ, as a share of an item's words.
 MAX_EDITS = 0.2
 # Bytes of items that one pass over the documents takes.
 BLOCK_BYTES = 4 << 20
 VOCABULARY = 1 << 18
+# Windows embedded at once.
+HELD_WINDOWS = 1 << 13
 LENGTHS = 64
+# Independent random walks, and the share of items at exactly the limit that all tables together may miss.
+WALKS, MISS = 8, 1e-3
+# Pairs of strings on which the agreement of a length is measured, and the most tables of a walk.
+TRIALS, MOST_TABLES = 64, 40
 MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -66,12 +74,79 @@ def grams(words: np.ndarray, size: int) -> np.ndarray:
     return words if size == 1 else _mixed(words[:-1] * _M + words[1:])
 
 
-def stretches(words: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of all stretches of ``size`` neighbouring words."""
-    out = np.zeros(max(0, len(words) - size + 1), np.uint64)
-    for j in range(size):
-        out = _mixed(out * _M + words[j:j + len(out)])
-    return out
+def _seeds(n: int) -> np.ndarray:
+    """A hash seed for every walk and step of strings of ``n`` words."""
+    ids = np.arange(WALKS * 2 * n, dtype=np.uint64).reshape(WALKS, 2 * n) + np.uint64(n << 32)
+    return _mixed(_mixed(ids * _M + np.uint64(1)))
+
+
+def walked(flat: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int, steps: int) -> Iterator[np.ndarray]:
+    """The CGK embedding of the strings ``flat[begin:end]``, a step at a time: ``(walks, strings)`` symbols, 0 past the end.
+
+    Every step writes the word that the walk stands on, and goes on to the next
+    one if a random bit of that word and step says so. Two walks over strings
+    that differ by few edits fall into step again, so an edit distance becomes
+    a Hamming distance. ``2 n`` steps cross a string of ``n`` words.
+    """
+    at, seeds = np.broadcast_to(begin, (WALKS, len(begin))).copy(), _seeds(n)
+    for j in range(steps):
+        symbols = np.where(at < end, flat[np.minimum(at, len(flat) - 1)], np.uint64(0))
+        yield symbols
+        at += (_mixed((symbols ^ seeds[:, j, None]) * _M) >> np.uint64(63)).astype(np.int64)
+
+
+@dataclass(frozen=True)
+class Tables:
+    """LSH tables for one length: ``steps[walk, table, symbol]`` are the sampled steps of the embedding."""
+
+    steps: np.ndarray
+
+    def keys(self, flat: np.ndarray, begin: np.ndarray, end: np.ndarray, n: int) -> np.ndarray:
+        """``(walks, tables, strings)`` hashes of the sampled symbols, 0 where the string ended before one of them."""
+        walks, tables, width = self.steps.shape
+        got = np.zeros((walks, tables, width, len(begin)), np.uint64)
+        for j, symbols in enumerate(walked(flat, begin, end, n, int(self.steps.max()) + 1)):
+            w, t, k = np.nonzero(self.steps == j)
+            got[w, t, k] = symbols[w]
+        out = np.broadcast_to(np.arange(walks * tables, dtype=np.uint64).reshape(walks, tables, 1) + np.uint64(1), got.shape[:2] + got.shape[3:])
+        for k in range(width):
+            out = _mixed(out * _M + got[:, :, k])
+        return np.where((got != 0).all(2), out | np.uint64(1), np.uint64(0))
+
+
+@lru_cache(maxsize=4096)
+def tables_for(n: int, most: int) -> Tables:
+    """Tables for items of ``n`` words that find one within ``most`` edits but for a share of ``MISS``.
+
+    The agreement of the embeddings at exactly ``most`` mixed edits is measured
+    on seeded random strings. Walks are independent, so what all miss is the
+    product of what each misses; tables of two symbols are taken unless they
+    would need to be more than ten a walk, else tables of one.
+    """
+    rng = np.random.default_rng(n)
+    first, second = [], []
+    for _ in range(TRIALS):
+        item = rng.integers(1, 1 << 62, n, dtype=np.uint64)
+        other = item.tolist()
+        for place in sorted(rng.choice(n, most, replace=False).tolist(), reverse=True) if most else []:
+            kind = rng.integers(3)
+            other[place:place + (kind != 1)] = [] if kind == 2 else [int(rng.integers(1, 1 << 62))]
+        first.append(item)
+        second.append(np.array(other, np.uint64))
+    spans = []
+    for group in (first, second):
+        ends = np.cumsum([len(x) for x in group])
+        spans.append((np.concatenate(group), ends - [len(x) for x in group], ends))
+    same, inside = np.zeros((WALKS, TRIALS)), np.zeros((WALKS, TRIALS))
+    for x, y in zip(walked(*spans[0], n, 2 * n), walked(*spans[1], n, 2 * n), strict=True):
+        same += (x == y) & (x != 0)
+        inside += 1
+    agreement = (same / inside).ravel()
+    for width, limit in ((2, 10), (1, MOST_TABLES)):
+        count = next((t for t in range(1, limit + 1) if ((1 - agreement ** width) ** t).mean() ** WALKS <= MISS), None)
+        if count or width == 1:
+            break
+    return Tables(rng.integers(0, 2 * n, (WALKS, count or MOST_TABLES, width)))
 
 
 def edit_distance_within(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int] | None:
@@ -90,7 +165,7 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray, most: int) -> tuple
 
 
 class Items:
-    """One block of benchmark items: word hashes, gram sets by length and pieces by length."""
+    """One block of benchmark items: word hashes, gram sets by length and LSH tables by length."""
 
     def __init__(self, rows: list[tuple[object, str]], max_edits: float):
         words = Words()
@@ -118,14 +193,17 @@ class Items:
                 quick = np.zeros(1 << 20, bool)
                 quick[(keys >> np.uint64(44)).astype(np.int64)] = True
                 self.sets[size] = keys, np.array([found[k] for k in keys.tolist()], np.uint64), quick
-        # Each edit is in one piece at most, so of most + 1 pieces one at least is in the text as it is.
-        self.pieces = {}
+        self.tables = {}
         for i, n in enumerate(self.lengths.tolist()):
-            cuts, size = np.arange(self.most[i] + 1) * n // (self.most[i] + 1), n // int(self.most[i] + 1)
-            mine = [k for k, w in enumerate(self.words) if len(w) == n]
-            keys = np.concatenate([stretches(self.words[k], size)[cuts] for k in mine])
+            mine = np.array([k for k, w in enumerate(self.words) if len(w) == n])
+            tables = tables_for(n, int(self.most[i]))
+            flat, begin = np.concatenate([self.words[k] for k in mine]), np.arange(len(mine)) * n
+            keys = tables.keys(flat, begin, begin + n, n)
+            owner = np.broadcast_to(mine, keys.shape).ravel()
+            keys = keys.ravel()
             order = np.argsort(keys, kind="stable")
-            self.pieces[n] = size, keys[order], np.repeat(mine, len(cuts))[order], np.tile(cuts, len(mine))[order]
+            order = order[keys[order] != 0]
+            self.tables[n] = tables, keys[order], owner[order]
 
     def windows(self, doc: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """``(length, starts)`` of the item-sized windows that share enough grams with items of that length.
@@ -161,41 +239,46 @@ class Items:
                 if len(starts):
                     yield n, starts
 
-    def candidates(self, doc: np.ndarray, n: int, starts: np.ndarray, hashes: dict[int, np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
-        """``(item, begins)`` of the items of ``n`` words with a piece in the text, where one of ``starts`` is within the edits allowed.
-
-        Edits move a piece by ``most`` words at most. ``hashes`` keeps the text's stretches by size.
-        """
-        size, keys, owner, cut = self.pieces[n]
-        if size not in hashes:
-            hashes[size] = stretches(doc, size)
-        h, most = hashes[size], int(self.most[np.searchsorted(self.lengths, n)])
-        lo = np.searchsorted(keys, h, "left")
-        at = np.flatnonzero(keys[np.minimum(lo, len(keys) - 1)] == h)
-        lo, count = lo[at], np.searchsorted(keys, h[at], "right") - lo[at]
-        which = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
-        begin, item = np.repeat(at, count) - cut[which], owner[which]
-        near = np.searchsorted(starts, begin + most, "right") > np.searchsorted(starts, begin - most, "left")
-        begin, item = begin[near], item[near]
-        order = np.argsort(item, kind="stable")
-        begin, item = begin[order], item[order]
-        for part in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
-            if len(part):
-                yield int(item[part[0]]), begin[part]
+    def candidates(self, flat: np.ndarray, n: int, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(windows, items)`` that meet in a table; ``begin`` and ``end`` bound the windows for items of ``n`` words."""
+        tables, keys, owner = self.tables[n]
+        if not len(keys):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        found = []
+        for a in range(0, len(begin), HELD_WINDOWS):
+            h = tables.keys(flat, begin[a:a + HELD_WINDOWS], end[a:a + HELD_WINDOWS], n)
+            which = np.broadcast_to(np.arange(a, a + h.shape[2]), h.shape).ravel()
+            h = h.ravel()
+            lo = np.searchsorted(keys, h, "left")
+            hit = np.flatnonzero((h != 0) & (keys[np.minimum(lo, len(keys) - 1)] == h))
+            lo, count = lo[hit], np.searchsorted(keys, h[hit], "right") - lo[hit]
+            items = owner[np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())]
+            found.append(np.unique(np.stack([np.repeat(which[hit], count), items]), axis=1))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return both[0], both[1]
 
     def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """``(document, item, distance, end)``: every item found in every text, at its least distance."""
-        spots: dict[tuple[int, int], list[np.ndarray]] = {}
+        near: dict[int, list[tuple[int, np.ndarray]]] = {}
         for x, doc in enumerate(docs):
-            hashes: dict[int, np.ndarray] = {}
             for n, starts in self.windows(doc):
-                for k, begin in self.candidates(doc, n, starts, hashes):
-                    spots.setdefault((x, k), []).append(begin)
+                near.setdefault(n, []).append((x, np.unique(np.clip(starts, 0, len(doc) - 1))))
+        spots: dict[tuple[int, int], list[int]] = {}
+        for n, places in near.items():
+            # The texts that hold a window, one after another.
+            flat = np.concatenate([docs[x] for x, _ in places])
+            sizes = np.array([len(docs[x]) for x, _ in places])
+            first = np.cumsum(sizes) - sizes
+            own = np.repeat(np.arange(len(places)), [len(p) for _, p in places])
+            starts = np.concatenate([p for _, p in places])
+            begin = starts + first[own]
+            for w, k in zip(*self.candidates(flat, n, begin, np.minimum(begin + n, (first + sizes)[own])), strict=True):
+                spots.setdefault((places[own[w]][0], int(k)), []).append(int(starts[w]))
         out = []
         for (x, k), starts in sorted(spots.items()):
             item, best = self.words[k], None
             most = int(math.floor(len(item) * self.max_edits + 1e-9))
-            starts = np.sort(np.concatenate(starts))
+            starts = np.sort(np.array(starts))
             for part in np.split(starts, np.flatnonzero(np.diff(starts) > len(item)) + 1):
                 a, b = max(0, int(part[0]) - most), min(len(docs[x]), int(part[-1]) + len(item) + most)
                 found = edit_distance_within(item, docs[x][a:b], most)
@@ -225,25 +308,43 @@ def _search(batches: Iterator[pa.RecordBatch], rows: list[tuple[object, str]], m
             [*(batch.column(c).take(where) for c in batch.schema.names[:-1]), pa.array([items.ids[x[1]] for x in out], key_type),
              pa.array([x[2] for x in out], pa.int32()), pa.array([len(items.words[x[1]]) for x in out], pa.int32()),
              pa.array([x[3] for x in out], pa.int32())],
-            [*batch.schema.names[:-1], "item_id", "distance", "item_words", "end_word"])
+            [*batch.schema.names[:-1], "item_key", "distance", "item_words", "end_word"])
 
 
-def item_blocks(benchmark: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[list[tuple[object, str]]]:
-    """The items in blocks of bounded size, read one by one, each with at most ``LENGTHS`` lengths."""
-    b = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).alias("i"), F.col(item_text_col).alias("t"))
+def _distinct_items(benchmark: DataFrame, item_text_col: str) -> DataFrame:
+    """``(key, t)``: the texts of the items, each once."""
+    return benchmark.where(F.col(item_text_col).isNotNull()).select(
+        F.md5(F.col(item_text_col).cast("binary")).alias("key"), F.col(item_text_col).alias("t")).dropDuplicates(["key"])
+
+
+def item_blocks(benchmark: DataFrame, item_text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
+    """The items' texts with their keys in blocks of bounded size, each with at most ``LENGTHS`` lengths, read one by one."""
+    b = _distinct_items(benchmark, item_text_col)
     total = b.select(F.sum(F.octet_length("t")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
     for k in range(blocks):
-        part = b.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k).collect() if total else []
+        part = b.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == k).collect() if total else []
         by: dict[int, list] = {}
         words = Words()
-        for r in part:
-            by.setdefault(len(words.of(r["t"])), []).append((r["i"], r["t"]))
-        lengths = sorted(by)
+        for r in sorted(part):
+            by.setdefault(len(words.of(r["t"])), []).append((r["key"], r["t"]))
+        lengths = sorted(n for n in by if n)
         for a in range(0, len(lengths), LENGTHS):
             yield [x for n in lengths[a:a + LENGTHS] for x in by[n]]
 
 
+def _passes(benchmark: DataFrame, item_text_col: str, block_bytes: int, one) -> DataFrame | None:
+    """``one(block, result so far)`` for every block; all but the last result are written, and their block is let go."""
+    out, blocks = None, item_blocks(benchmark, item_text_col, block_bytes)
+    block = next(blocks, None)
+    while block is not None:
+        out, after = one(block, out), next(blocks, None)
+        if after is not None:
+            out = materialize(out, "decontaminated")
+        block = after
+    return out
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
                       item_text_col: str = "text", max_edits: float = MAX_EDITS,
                       block_bytes: int = BLOCK_BYTES, **keep) -> DataFrame | None:
@@ -252,25 +353,31 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     Words are split at white space and compared without case and without marks
     around them. An item is found where a stretch of the text is within
     ``max_edits`` (share of the item's words) word insertions, deletions and
-    changes; this is verified exactly. An item cut into one piece more than the
-    edits allowed keeps one piece as it is, so texts that hold a piece near a
-    window that shares enough neighbour pairs with items of that length are
-    all the candidates: no match is lost. Null or empty texts hold nothing; null or wordless items
-    are found nowhere; equal items are each found. The benchmark is a query
-    set: it is read in blocks of ``block_bytes``, and each block searches all
-    documents. None if there are no items.
+    changes; this is verified exactly. Windows of an item's size that share
+    enough neighbour pairs with the items of their length (a bound that loses
+    none) are embedded by random walks (``walked``) and looked up in sampled
+    tables (``tables_for``), whose number follows the agreement at the limit.
+
+    Whole texts are searched, very long ones too. Null or empty texts hold nothing; null or wordless items
+    are found nowhere; equal items are each found, and repeated rows of either
+    table give a row each. No documents give no rows. Other columns are ignored, whatever their names. The benchmark is a query
+    set: it is read in blocks of ``block_bytes`` of different texts, and each block searches all
+    documents before the next is read. None if there are no items.
     """
     rows = docs.select(*[c.alias(n) for n, c in keep.items()], F.col(text_col).alias("txt"))
-    kind = benchmark.schema[item_col].dataType
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    schema = f"{fields}, item_id {kind.simpleString()}, distance int, item_words int, end_word int"
-    from pyspark.sql.pandas.types import to_arrow_type
+    schema = f"{fields}, item_key string, distance int, item_words int, end_word int"
 
-    key_type, out = to_arrow_type(kind), None
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        part = rows.mapInArrow(lambda b, block=block: _search(b, block, max_edits, key_type), schema)
-        out = part if out is None else out.union(part)
-    return out
+    def one(block, found):
+        part = rows.mapInArrow(lambda b: _search(b, block, max_edits, pa.string()), schema)
+        return part if found is None else found.unionByName(part)
+
+    out = _passes(benchmark, item_text_col, block_bytes, one)
+    if out is None:
+        return None
+    names = benchmark.where(F.col(item_text_col).isNotNull()).select(
+        F.md5(F.col(item_text_col).cast("binary")).alias("item_key"), F.col(item_col).alias("item_id"))
+    return out.join(names, "item_key").select(*keep, "item_id", "distance", "item_words", "end_word")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
@@ -291,10 +398,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     row is shuffled. Rows with null or empty texts stay; repeated rows are
     judged alike; an empty table gives no rows.
     """
-    out = docs
-    for block in item_blocks(benchmark, item_col, item_text_col, block_bytes):
-        out = _without(out, block, text_col, max_edits)
-    return out
+    out = _passes(benchmark, item_text_col, block_bytes,
+                  lambda block, kept: _without(docs if kept is None else kept, block, text_col, max_edits))
+    return docs if out is None else out
 
 
 def _without(docs: DataFrame, block: list[tuple[object, str]], text_col: str, max_edits: float) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,12 +16,16 @@ from toolcorpus.llm.common import hash_unit
 TEXTS_PER_LANGUAGE, MAX_LANGUAGES = 150, 256
 SEQUENCES, SEQUENCE_WORDS, SEGMENT_WORDS, STEPS, RATE, DECAY = 1600, 64, 12, 80, 0.1, 1e-4
 FEATURE_BITS = 17
+# Texts that noise is made of, and how often a letter occurs in the sample at least to be one of the alphabet.
+NOISE_TEXTS, LEAST_LETTERS = 300, 5
 VOCABULARY = 1 << 17
 # Emission values held at once while decoding.
 HELD = 1 << 22
 # Texts split into words at once.
 TOGETHER = 256
 UNKNOWN = "und"
+# The label of what is no language, and the letter that stands for all that were not learned.
+OTHER, STRANGE = "(other)", "\ufffd"
 
 
 def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,22 +63,33 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids)[order].astype(np.int64), np.concatenate([[0], np.cumsum(counts)[:-1]])
 
 
-def letters(token: str) -> str:
-    """The letters of a token in lower case; empty if it has none."""
+def letters(token: str, keep: str = "") -> str:
+    """The letters of a token in lower case, and the characters ``keep``; empty if it has none."""
     token = token.lower()
-    return token if token.isalpha() else "".join(filter(str.isalpha, token))
+    return token if token.isalpha() else "".join(c for c in token if c.isalpha() or c in keep)
+
+
+def known_letters(word: str, alphabet: frozenset[str]) -> str:
+    """The word with every letter outside ``alphabet`` as the unknown letter."""
+    return word if alphabet.issuperset(word) else "".join(c if c in alphabet else STRANGE for c in word)
 
 
 @dataclass
 class Model:
-    """Labels, feature weights ``(features, labels)``, transition weights and start weights."""
+    """Labels, feature weights ``(features, labels)``, transition weights and start weights.
+
+    With an ``alphabet``, letters outside it are all read as one unknown letter.
+    """
 
     labels: list[str]
     weights: np.ndarray
     transitions: np.ndarray
     start: np.ndarray
+    alphabet: frozenset[str] | None = None
 
     def emissions(self, words: list[str]) -> np.ndarray:
+        if self.alphabet is not None:
+            words = [known_letters(w, self.alphabet) for w in words]
         ids, begins = features(words)
         return np.add.reduceat(self.weights[ids], begins, axis=0)
 
@@ -136,11 +152,11 @@ def code_switched(texts: list[tuple[int, np.ndarray]], seed: int) -> tuple[np.nd
     return np.concatenate(words)[:total].reshape(shape), np.concatenate(labels)[:total].reshape(shape)
 
 
-def train(texts: list[tuple[str, str]], seed: int = 11) -> Model:
+def train(texts: list[tuple[str, str]], seed: int = 11, keep: str = "") -> Model:
     """Fit the field to ``(language, text)`` by gradient steps on the likelihood of code-switched sequences."""
     kinds = sorted({lang for lang, _ in texts})
     slots: dict[str, int] = {}
-    coded = [(kinds.index(lang), np.array([slots.setdefault(w, len(slots)) for w in map(letters, text.split()) if w], np.int64))
+    coded = [(kinds.index(lang), np.array([slots.setdefault(w, len(slots)) for w in (letters(x, keep) for x in text.split()) if w], np.int64))
              for lang, text in sorted(texts)]
     size, n_feat = len(kinds), 1 << FEATURE_BITS
     weights, trans, start = np.zeros((n_feat, size)), np.zeros((size, size)), np.zeros(size)
@@ -173,6 +189,39 @@ def train(texts: list[tuple[str, str]], seed: int = 11) -> Model:
     return Model(kinds, weights.astype(np.float32), trans.astype(np.float32), start.astype(np.float32))
 
 
+def noise(texts: list[str], alphabet: list[str], rng: np.random.Generator) -> list[str]:
+    """Texts that are in no language, made from texts that are: the letters of every word shuffled, drawn anew from the
+    whole alphabet, or unknown, a kind for each text in turn and words of one or two letters left out."""
+    out = []
+    for i, text in enumerate(texts):
+        words = [w for w in map(letters, text.split()) if len(w) > 2]
+        if i % 3 == 0:
+            words = ["".join(rng.permutation(list(w))) for w in words]
+        elif i % 3 == 1:
+            words = ["".join(rng.choice(alphabet, len(w))) for w in words]
+        else:
+            share = rng.choice([0.5, 1.0])
+            words = ["".join(STRANGE if rng.random() < share else c for c in w) for w in words]
+        out.append(" ".join(words))
+    return out
+
+
+def train_with_other(texts: list[tuple[str, str]], seed: int = 11) -> Model:
+    """The field over the languages and ``OTHER``, which is learned from noise made of the same texts."""
+    if not texts:
+        return train(texts, seed)
+    texts = sorted(texts)
+    counts = Counter(c for _, t in texts for c in t.lower() if c.isalpha())
+    alphabet = frozenset(c for c, n in counts.items() if n >= LEAST_LETTERS) or frozenset(counts)
+    rng = np.random.default_rng(seed)
+    drawn = [texts[i][1] for i in rng.permutation(len(texts))[:NOISE_TEXTS]]
+    known = [(lang, " ".join(known_letters(letters(w), alphabet) for w in t.split())) for lang, t in texts]
+    marked = [(OTHER, t) for t in noise(drawn, sorted(alphabet), rng)]
+    model = train(known + marked, seed, keep=STRANGE)
+    model.alphabet = alphabet
+    return model
+
+
 class Decoder:
     """Label shares of texts; emissions of words are kept until ``VOCABULARY`` of them are."""
 
@@ -215,6 +264,10 @@ class Decoder:
             sure[order] = np.add.reduceat(post.max(1), begins, dtype=np.float64) / n
         return out, sure
 
+    def known(self, shares: np.ndarray) -> np.ndarray:
+        """The share of a text's words that are in a language, whichever it is."""
+        return shares[:, [k for k, label in enumerate(self.model.labels) if label != OTHER]].sum(1)
+
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
     decoder, size = Decoder(model), max(1, len(model.labels))
@@ -244,19 +297,21 @@ def held_out(id_col: Column, parts: int = 4, which: int = 2) -> Column:
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: Column | None = None,
-        per_language: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Fit to a sample of about ``per_language`` labelled texts of each language, drawn by a hash of ``key``."""
+        per_language: int = TEXTS_PER_LANGUAGE, other: bool = False) -> Model:
+    """Fit to a sample of about ``per_language`` labelled texts of each language, drawn by a hash of ``key``.
+
+    Of more than ``MAX_LANGUAGES`` labels, the most frequent are learned (ties: the smallest). With ``other``, what
+    is in none of them has a label of its own (``train_with_other``).
+    """
     counts = docs.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"))
-    found = counts.limit(MAX_LANGUAGES + 1).collect()
-    if len(found) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    found = counts.orderBy(F.desc("n"), "l").limit(MAX_LANGUAGES).collect()
     draw = hash_unit("language", key if key is not None else F.col(text_col))
     share = F.lit(0.0)
     for r in found:
         share = F.when(F.col(lang_col) == r["l"], F.lit(min(1.0, per_language / r["n"]))).otherwise(share)
     rows = (docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (draw < share))
             .select(F.col(lang_col).alias("l"), F.col(text_col).alias("t")).limit(2 * per_language * max(1, len(found))).collect())
-    return train([(r["l"], r["t"]) for r in rows])
+    return (train_with_other if other else train)([(r["l"], r["t"]) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", **keep: Column) -> DataFrame:
@@ -282,14 +337,30 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return identify(docs, model, text_col, doc_id=F.col(id_col), held_out=held_out(F.col(id_col))).drop("sureness")
 
 
-def accepted(docs: DataFrame, model: Model, min_sureness: float = 0.3, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, unchanged, whose text has a language and whose words are sure of theirs.
+def accepted(docs: DataFrame, model: Model, min_known: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, unchanged, of whose words with letters ``min_known`` are in a language of ``model``.
 
-    Sureness is the mean over words of the largest posterior, ``min_sureness`` at
-    least. Texts spread over many languages stay if each word is sure of its own.
+    The model knows ``OTHER`` (``fit`` with ``other``), and the posteriors of all other labels count together, so
+    a text spread evenly over many languages stays. Texts that are null or have no letter go, and so does every text
+    if nothing was learned.
     """
     from toolcorpus.llm.common import packed
 
     rows = packed(docs, __text=F.col(text_col))
-    out = identify(rows, model, "__text", __row=F.col("__row"))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("sureness") >= min_sureness)).select("__row.*")
+    kind = rows.schema["__row"].dataType.simpleString()
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder = Decoder(model)
+        for batch in batches:
+            texts, keep, at = batch.column("__text").to_pylist(), [], 0
+            while at < len(texts):
+                to, room = at, HELD // max(1, len(model.labels)) * 6
+                while to < len(texts) and (to == at or room > 0):
+                    room -= len(texts[to] or "")
+                    to += 1
+                share = decoder.known(decoder.shares(texts[at:to])[0]) if model.labels else np.zeros(to - at)
+                keep += (share >= min_known).tolist()
+                at = to
+            yield batch.select(["__row"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.mapInArrow(kept, f"__row {kind}").select("__row.*")

@@ -38,7 +38,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     later = (wins.join(firsts, ["h1", "h2"])
              .where(~(F.col("id").eqNullSafe(F.col("at.id")) & (F.col("th") == F.col("at.th"))
                       & (F.col("first") == F.col("at.first"))))
-             .select("id", "th", "first", "last"))
+             # Rows repeated in full have the same windows: each counts once, so they do not fill one group.
+             .select("id", "th", "first", "last").distinct())
     own = Window.partitionBy("id", "th").orderBy("first")
     before = F.max("last").over(own.rowsBetween(Window.unboundedPreceding, -1))
     isles = (later.withColumn("new", F.when(F.col("first") <= before + 1, 0).otherwise(1))

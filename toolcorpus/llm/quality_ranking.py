@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from toolcorpus.llm.common import hash_unit
+from toolcorpus.llm.common import hash_unit, materialize
 from toolcorpus.llm.language_id import held_out
 
 # Bounds of the training sample: labelled texts per class, and preference pairs.
@@ -110,7 +110,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("y") == 1, F.lit(min(1.0, per_class / counts[1]))).otherwise(F.lit(min(1.0, per_class / counts[0])))
     drawn = known.where(hash_unit("quality", F.col("id")) < share).limit(4 * per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    rows = texts.join(F.broadcast(drawn), "id").select("y", described(F.col("t")).alias("x")).collect()
+    drawn = texts.join(F.broadcast(drawn), "id")
+    # Repeated rows or labels make more rows of one draw, so each class is bounded once more, by a hash.
+    order = hash_unit("quality-row", F.col("id"), F.md5(F.col("t")))
+    rows = [drawn.where(F.col("y") == y).orderBy(order).limit(2 * per_class).select("y", described(F.col("t")).alias("x")) for y in (0, 1)]
+    rows = rows[0].union(rows[1]).collect()
     good, bad = (np.array([r["x"] for r in rows if r["y"] == y]) for y in (1, 0))
     if not len(good) or not len(bad):
         return None
@@ -118,6 +122,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train(order(good), order(bad), counts[1] / (counts[0] + counts[1]))
 
 
+def with_threshold(model: Ranking, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Ranking:
+    """``model`` with its threshold at the quantile of the strengths of all labelled texts that leaves the share of label 1 above it."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+
+    @F.pandas_udf("double")
+    def strength(texts: pd.Series) -> pd.Series:
+        return pd.Series(model.strength(np.array([describe(t) for t in texts])) if len(texts) else [], dtype="float64")
+
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
+    strengths = materialize(texts.join(known, "id").select("y", strength(F.col("t")).alias("s")), "strengths")
+    share = strengths.agg(F.avg("y").alias("share")).first()["share"]
+    if share is None:
+        return model
+    at = strengths.agg(F.percentile_approx("s", F.lit(1.0 - float(share)), F.lit(100_000)).alias("t")).first()["t"]
+    return replace(model, threshold=float(at))
+
+
 def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  label_col: str = "quality") -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every whole text.
@@ -126,13 +147,16 @@ def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     is not 1 (other labels, null identifiers and identifiers without a text
     are passed over; several labels of one text all count). The score is the
     Bradley-Terry probability that the text beats one at the quantile of the
-    training scores that leaves the share of label 1 above it; ``predicted``
+    scores of all labelled learning texts that leaves the share of label 1
+    above it (``with_threshold``; the fit alone is on a bounded sample); ``predicted``
     is 1 from a score of 0.5. Null and empty texts are described as texts of
     no characters. Without labels of both classes every score is 0.5. Repeated
     rows get a row each; an empty table gives none; other columns are ignored.
     """
     kept = labels.where(~held_out(F.col(id_col), 3, 1))
     model = fit(docs, kept, id_col, text_col, label_col)
+    if model is not None:
+        model = with_threshold(model, docs, kept, id_col, text_col, label_col)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

@@ -107,8 +107,8 @@ def _components(docs: DataFrame, id_col: str, text_col: str, width: int, radius:
                                    fingerprint(F.col(text_col), width, seed).alias("fp")), "simhash")
     nodes = materialize(base.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
     comps = connected_components(near_links(nodes.select("fp"), radius))
-    rooted = nodes.join(comps, nodes["fp"] == comps["node"], "inner").select("fp", "low", "root")
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    rooted = materialize(nodes.join(comps, nodes["fp"] == comps["node"], "inner").select("fp", "low", "root"), "simhash-rooted")
+    lows = materialize(rooted.groupBy("root").agg(F.min("low").alias("component")), "simhash-lows")
     linked = rooted.join(lows, "root").select("fp", "root", "component")
     # Written, so that the last join reads two plain exchanges and a hot fingerprint can be split.
     low = materialize(nodes.join(linked, "fp", "left").select(
