@@ -3,8 +3,9 @@
 ``STAGES`` lists ``(name, function)``; a function takes ``(spark, docs, sf_dir)``
 and returns a DataFrame. All but the last return the columns of ``docs``:
 
-1. language_id: texts in no language, or whose words are unsure of theirs (mean
-   largest posterior under 0.3), go; evenly mixed languages stay;
+1. language_id: texts go unless half of their words with letters are in one of
+   the learned languages, against a label for noise and unknown letters; evenly
+   mixed languages stay;
 2. line_dedup: later occurrences of repeated three-line windows go from the
    texts, ``n_chars`` follows; no document goes;
 3. simhash_dedup: one document of each near-duplicate component stays;
@@ -32,7 +33,7 @@ from toolcorpus.llm.simhash_dedup import simhash_dedup
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return accepted(docs, fit(docs, key=F.col("doc_id")))
+    return accepted(docs, fit(docs, key=F.col("doc_id"), other=True))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
