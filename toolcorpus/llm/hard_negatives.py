@@ -219,6 +219,10 @@ def mine_hard_negatives(vectors: DataFrame, is_anchor: Column, id_col: str = "ve
 
     def meet(queries: DataFrame, search) -> DataFrame:
         def run(mine: pa.Table, asking: pa.Table) -> pa.Table:
+            if not mine.num_rows or not asking.num_rows:
+                none = pa.array([], pa.int64())
+                return pa.table({"anchor_id": asking["id"].slice(0, 0), "anchor_tag": none, "positive_rank": pa.array([], pa.int32()),
+                                 "id": mine["id"].slice(0, 0), "score": none})
             return search(Cell(mine, asking, width, bound))
 
         right = queries.select("*", F.pmod(F.shiftright("tag", 20), F.lit(lines)).cast("int").alias("line"),
