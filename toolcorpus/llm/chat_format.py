@@ -115,12 +115,17 @@ def conversation_events(turns: DataFrame, delta_chars: int = 400) -> DataFrame:
 
     Assistant texts stream as deltas of ``delta_chars`` code points after an
     empty ``message``; others are one ``message``. Rows go by turn, then role,
-    then a hash of the text; repeated rows are messages of their own.
+    then hashes of the text; repeated rows are counted and are messages of
+    their own. Message identifiers follow from the rows alone, so a task that
+    runs again gives the same. Null texts are empty, very long ones are cut
+    into deltas or stay one message; other columns are ignored.
     """
-    t = turns.select(
+    t = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    t = t.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n")).select(
+        "*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"))).alias("row"))
+    t = t.select(
         "conv_id", F.struct(F.col("turn").alias("turn"), F.col("role").alias("role"), F.xxhash64("text").alias("tie"),
-                            F.monotonically_increasing_id().alias("row")).alias("at"),
-        "role", F.coalesce("text", F.lit("")).alias("text"))
+                            F.md5("text").alias("digest"), F.col("row").alias("row")).alias("at"), "role", "text")
     streamed = F.col("role") == "assistant"
     n = F.when(streamed, F.ceil(F.length("text") / delta_chars).cast("int")).otherwise(0)
     piece = lambda i: F.struct(
@@ -131,7 +136,7 @@ def conversation_events(turns: DataFrame, delta_chars: int = 400) -> DataFrame:
         F.sequence(F.lit(0), F.coalesce(n, F.lit(0))), piece)).alias("p"))
     return parts.select("conv_id", F.col("at").alias("message_id"),
                         F.struct(F.col("at.turn").alias("turn"), F.col("at.role").alias("role"), F.col("at.tie").alias("tie"),
-                                 F.col("at.row").alias("row"), F.col("p.part").alias("part")).alias("seq"),
+                                 F.col("at.digest").alias("digest"), F.col("at.row").alias("row"), F.col("p.part").alias("part")).alias("seq"),
                         F.col("p.op").alias("op"), "role", F.col("p.text").alias("text"))
 
 
