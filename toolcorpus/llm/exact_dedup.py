@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from toolcorpus.llm.common import ASCII_SPACE, materialize
 
 RUNS = 64
-FAN_IN = 8
+FAN_IN = 2
 KEY = ("digest", "check", "n_bytes")
 
 
@@ -19,6 +19,19 @@ def normalised(text: Column) -> Column:
     return out
 
 
+def exchange(level: DataFrame, fan_in: int) -> DataFrame:
+    """One round: runs hand their sorted digests to a partner, which merges them in order and keeps each digest's best row.
+
+    Runs ``fan_in * i`` to ``fan_in * i + fan_in - 1`` meet as run ``i``. All
+    of them are exchanged by the same ranges of digests, so a task holds one
+    range of the runs it merges and an aggregate over sorted rows needs no
+    other shuffle. A level has a digest once in a run, so no range is hot.
+    """
+    return (level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
+            .repartitionByRange("digest").sortWithinPartitions("run", *KEY)
+            .groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n")))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
@@ -32,11 +45,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Every input partition belongs to one of ``runs`` runs. A run holds each of
     its digests once (map-side combine first), with the best row and the count,
-    sorted by digest. In each round ``fan_in`` neighbouring runs are merged
-    into one, until one is left. Runs are dealt out by digest, so no run, not
-    even the last, sits in one task, and every level is written sorted to the
-    shared folder. Equality is verified at every level: rows merge only when
-    SHA-256, a second 64-bit hash and the byte length of the text agree.
+    sorted by digest. Runs are exchanged in binomial rounds: in round ``k`` the
+    runs whose numbers differ in bit ``k`` merge in order (``exchange``; with a
+    larger ``fan_in``, in that digit), until one is left. A run is spread over
+    ranges of digests, so none, not even the last, sits in one task, and every
+    level is written sorted to the shared folder. Equality is verified at every
+    level: rows merge only when SHA-256, a second 64-bit hash and the byte
+    length of the text agree. Very long texts are digested where they are read
+    and never shuffled.
     """
     norm = normalised(F.col(text_col))
     base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"),
@@ -53,10 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     left = runs
     while left > 1:
         left = -(-left // fan_in)
-        level = (level.withColumn("run", F.floor(F.col("run") / fan_in).cast("int"))
-                 .groupBy("run", *KEY).agg(F.min("best").alias("best"), F.sum("n").alias("n")))
-        if left > 1:
-            level = materialize(level.sortWithinPartitions("run", *KEY), "run")
+        level = materialize(exchange(level, fan_in), "run")
     groups = level.where(F.col("n") > 1).select(*KEY, "best", "n")
     out = base.join(groups, list(KEY), "left")
     alone = F.col("n").isNull()
