@@ -17,6 +17,10 @@ from toolcorpus.llm.language_id import held_out
 # Bounds of the training sample: labelled texts per class, and preference pairs.
 TEXTS_PER_CLASS, PAIRS = 2000, 30_000
 KNOTS, STEPS, RATE, DECAY = 8, 300, 0.05, 1e-3
+# Variance of all n-gram features together, as a multiple of that of the described features.
+GRAM_SHARE = 1.0
+# Buckets of each kind of hashed n-gram, bytes taken at once, texts scored at once.
+GRAM_BITS, PIECE, BLOCK = 10, 1 << 20, 256
 MARKS = b"!*%$&#|@<>{}[]\\/=+_~^;:?\"'()-.,"
 
 
@@ -40,6 +44,28 @@ def describe(text: str | None) -> list[float]:
             marked / max(1, len(counts)), *(int(byte[m]) / n_words for m in MARKS)]
 
 
+def grams(text: str | None) -> np.ndarray:
+    """Square roots of the shares of hashed 3-grams of bytes, and of hashed words and word pairs, of a whole lower-cased text."""
+    raw = (text or "").lower().encode()
+    buckets = 1 << GRAM_BITS
+    bucket = lambda code: (code * np.uint32(2654435761)) >> np.uint32(32 - GRAM_BITS)
+    letters, words = np.zeros(buckets), np.zeros(buckets)
+    for at in range(0, len(raw) - 2, PIECE):
+        b = np.frombuffer(raw[at:at + PIECE + 2], np.uint8).astype(np.uint32)
+        letters += np.bincount(bucket(b[:-2] << np.uint32(16) | b[1:-1] << np.uint32(8) | b[2:]), minlength=buckets)
+    found = raw.split()
+    if found:
+        codes = {w: zlib.crc32(w) for w in set(found)}
+        code = np.fromiter(map(codes.__getitem__, found), np.uint32, len(found))
+        words += np.bincount(bucket(code), minlength=buckets)
+        words += np.bincount(bucket(code[:-1] * np.uint32(40503) + code[1:]), minlength=buckets)
+    return np.sqrt(np.concatenate([letters / max(1.0, letters.sum()), words / max(1.0, words.sum())]))
+
+
+def features(text: str | None) -> np.ndarray:
+    return np.concatenate([describe(text), grams(text)])
+
+
 @dataclass
 class Ranking:
     """Hinge knots per feature, weights of the hinges, and the score at the threshold quantile."""
@@ -53,29 +79,48 @@ class Ranking:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return (hinges(x, self.knots) - self.mean) / self.scale @ self.weights
 
+    def beats(self, strength: np.ndarray) -> np.ndarray:
+        """Probability that a text of this strength is preferred to one at the threshold."""
+        return 1 / (1 + np.exp(-np.clip(strength - self.threshold, -500, 500)))
+
     def score(self, x: np.ndarray) -> np.ndarray:
-        """Probability that the text is preferred to one at the threshold."""
-        return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.threshold, -500, 500)))
+        return self.beats(self.strength(x))
 
 
 def hinges(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
-    """Each feature, and what it has above each of its knots."""
-    return np.concatenate([x, *(np.maximum(x - k, 0) for k in knots)], axis=1)
+    """Each feature, and what the first ones, those with knots, have above each of theirs."""
+    bent = x[:, :knots.shape[1]]
+    return np.concatenate([x, *(np.maximum(bent - k, 0) for k in knots)], axis=1)
+
 
+def pair_gradient(h: np.ndarray, w: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Gradient of the mean of ``log(1 + exp(-(h[up] - h[down]) w))`` and of the decay: the pairs are summed by row first."""
+    s = h @ w
+    pull = -1 / (1 + np.exp(np.clip(s[up] - s[down], -500, 500))) / len(up)
+    rows = np.bincount(up, pull, len(h)) - np.bincount(down, pull, len(h))
+    return h.T @ rows + DECAY * w
+
+
+def train(good: np.ndarray, bad: np.ndarray, good_share: float, n_grams: int = 0, seed: int = 13) -> Ranking:
+    """Logistic loss on feature differences of pairs (good, bad); threshold at the quantile that leaves ``good_share`` above.
 
-def train(good: np.ndarray, bad: np.ndarray, good_share: float, seed: int = 13) -> Ranking:
-    """Logistic loss on feature differences of pairs (good, bad); threshold at the quantile that leaves ``good_share`` above."""
+    The last ``n_grams`` features have no knots and share one scale, by which
+    all of them together vary ``GRAM_SHARE`` times as much as the others before their knots.
+    """
     x = np.concatenate([good, bad])
-    knots = np.quantile(x, np.linspace(0.02, 0.98, KNOTS), axis=0)
+    plain = x.shape[1] - n_grams
+    knots = np.quantile(x[:, :plain], np.linspace(0.02, 0.98, KNOTS), axis=0)
     h = hinges(x, knots)
     mean, scale = h.mean(0), h.std(0)
+    if n_grams:
+        scale[plain:plain + n_grams] = math.sqrt(float((scale[plain:plain + n_grams] ** 2).sum()) / (plain * GRAM_SHARE))
     scale[scale < 1e-9] = 1.0
     h = (h - mean) / scale
     rng = np.random.default_rng(seed)
-    gaps = h[rng.integers(len(good), size=PAIRS)] - h[len(good) + rng.integers(len(bad), size=PAIRS)]
+    up, down = rng.integers(len(good), size=PAIRS), len(good) + rng.integers(len(bad), size=PAIRS)
     w, m, v = np.zeros(h.shape[1]), np.zeros(h.shape[1]), np.zeros(h.shape[1])
     for step in range(1, STEPS + 1):
-        g = gaps.T @ (-1 / (1 + np.exp(np.clip(gaps @ w, -500, 500)))) / PAIRS + DECAY * w
+        g = pair_gradient(h, w, up, down)
         m += 0.1 * (g - m)
         v += 0.001 * (g * g - v)
         w -= RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
@@ -87,10 +132,17 @@ def train(good: np.ndarray, bad: np.ndarray, good_share: float, seed: int = 13)
     return Ranking(knots, mean, scale, w, float((s[order[at]] + s[order[at + 1]]) / 2))
 
 
+def strengths_of(model: Ranking, texts: pd.Series) -> np.ndarray:
+    """Strengths of texts, in blocks so that few feature vectors are held at once."""
+    texts = list(texts)
+    blocks = [model.strength(np.array([features(t) for t in texts[i:i + BLOCK]])) for i in range(0, len(texts), BLOCK)]
+    return np.concatenate(blocks) if blocks else np.zeros(0)
+
+
 def described(text: Column) -> Column:
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf("binary")
     def run(texts: pd.Series) -> pd.Series:
-        return pd.Series([describe(t) for t in texts])
+        return pd.Series([features(t).astype(np.float32).tobytes() for t in texts], dtype="object")
 
     return run(text)
 
@@ -115,11 +167,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     order = hash_unit("quality-row", F.col("id"), F.md5(F.col("t")))
     rows = [drawn.where(F.col("y") == y).orderBy(order).limit(2 * per_class).select("y", described(F.col("t")).alias("x")) for y in (0, 1)]
     rows = rows[0].union(rows[1]).collect()
-    good, bad = (np.array([r["x"] for r in rows if r["y"] == y]) for y in (1, 0))
+    good, bad = (np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["y"] == y], np.float64) for y in (1, 0))
     if not len(good) or not len(bad):
         return None
     order = lambda a: a[np.lexsort(a.T)]  # noqa: E731  the sample's row order does not matter
-    return train(order(good), order(bad), counts[1] / (counts[0] + counts[1]))
+    return train(order(good), order(bad), counts[1] / (counts[0] + counts[1]), 2 << GRAM_BITS)
 
 
 def with_threshold(model: Ranking, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Ranking:
@@ -128,7 +180,7 @@ def with_threshold(model: Ranking, docs: DataFrame, labels: DataFrame, id_col: s
 
     @F.pandas_udf("double")
     def strength(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.strength(np.array([describe(t) for t in texts])) if len(texts) else [], dtype="float64")
+        return pd.Series(strengths_of(model, texts))
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     strengths = materialize(texts.join(known, "id").select("y", strength(F.col("t")).alias("s")), "strengths")
@@ -149,7 +201,8 @@ def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     Bradley-Terry probability that the text beats one at the quantile of the
     scores of all labelled learning texts that leaves the share of label 1
     above it (``with_threshold``; the fit alone is on a bounded sample); ``predicted``
-    is 1 from a score of 0.5. Null and empty texts are described as texts of
+    is 1 from a score of 0.5. Texts are described by sizes and shares (``describe``) and by
+    hashed n-grams of bytes and words (``grams``), very long ones whole. Null and empty texts are described as texts of
     no characters. Without labels of both classes every score is 0.5. Repeated
     rows get a row each; an empty table gives none; other columns are ignored.
     """
@@ -162,7 +215,7 @@ def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def score(texts: pd.Series) -> pd.Series:
         if model is None or not len(texts):
             return pd.Series(np.full(len(texts), 0.5))
-        return pd.Series(model.score(np.array([describe(t) for t in texts])))
+        return pd.Series(model.beats(strengths_of(model, texts)))
 
     out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), 3, 1).alias("held_out"),
                       score(F.col(text_col)).alias("score"))
