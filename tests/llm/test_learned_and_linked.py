@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from conftest import SF_SMALL
 from toolcorpus.llm import language_id as lang
-from toolcorpus.llm.quality_ranking import describe, rank_quality, train
+from toolcorpus.llm.quality_ranking import DECAY, GRAM_BITS, describe, features, grams, pair_gradient, rank_quality, train, with_threshold
 from toolcorpus.llm.queries import QUERIES
 from toolcorpus.llm.url_filter import filter_urls, propagate, rounds_for
 
@@ -219,6 +219,49 @@ def test_ranking_learns_an_order_from_pairs():
     assert len(describe(None)) == len(describe("a b\nc")) and np.isfinite(describe("")).all()
 
 
+def test_pair_gradient_is_that_of_the_loss_over_all_differences():
+    rng = np.random.default_rng(3)
+    h, w, up, down = rng.normal(size=(40, 5)), rng.normal(size=5), rng.integers(40, size=300), rng.integers(40, size=300)
+    loss = lambda v: np.mean(np.log1p(np.exp(-(h[up] - h[down]) @ v))) + DECAY / 2 * v @ v
+    slope = [(loss(w + 1e-5 * e) - loss(w - 1e-5 * e)) / 2e-5 for e in np.eye(5)]
+    assert np.allclose(pair_gradient(h, w, up, down), slope, atol=1e-8)
+
+
+def plain_grams(text):
+    raw, n = text.lower().encode(), 1 << GRAM_BITS
+    put = lambda code: (code * 2654435761 & 0xFFFFFFFF) >> 32 - GRAM_BITS
+    out = np.zeros(2 * n)
+    for a, b, c in zip(raw, raw[1:], raw[2:]):
+        out[put(a << 16 | b << 8 | c)] += 1
+    ids = [zlib.crc32(w) for w in raw.split()]
+    for code in ids + [(a * 40503 + b) & 0xFFFFFFFF for a, b in zip(ids, ids[1:])]:
+        out[n + put(code)] += 1
+    return np.sqrt(np.concatenate([part / max(1, part.sum()) for part in (out[:n], out[n:])]))
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "Abc abc\n  é", "word " * 9, "x y z " * 200_000])
+def test_hashed_ngrams_match_plain_counts(text):
+    assert np.allclose(grams(text), plain_grams(text)) and not grams(None).any()
+
+
+def test_fluent_prose_of_other_words_is_told_apart_by_ngrams_and_the_threshold_is_over_all_labels(spark, frame):
+    rng = np.random.default_rng(8)
+    # Both kinds have words of equal lengths from the same letters: only n-grams differ.
+    words = ["".join(rng.permutation(list("aeilnorst"))[:6]) for _ in range(400)]
+    kinds = words[:200], words[200:]
+    texts = [(i, " ".join(rng.choice(kinds[i % 2], 60)), i % 2) for i in range(900)]
+    docs = frame([(i, t, t) for i, t, _ in texts], "doc_id long, text string, score string")
+    labels = frame([(i, y, 0) for i, _, y in texts], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in rank_quality(docs, labels).collect()}
+    held = [(i, y) for i, _, y in texts if got[i]["held_out"]]
+    assert np.mean([got[i]["predicted"] == y for i, y in held]) >= 0.95
+    x = np.array([features(t) for _, t, _ in texts])
+    y = np.array([y for _, _, y in texts])
+    model = train(x[y == 1][:50], x[y == 0][:50], 0.5, 2 << GRAM_BITS)
+    moved = with_threshold(model, docs, labels, "doc_id", "text", "quality")
+    assert abs(moved.threshold - np.quantile(model.strength(x), 0.5, method="inverted_cdf")) < 1e-9
+
+
 def test_pipeline_stages_keep_columns_and_follow_a_plain_version(spark):
     from .test_text_operators import plain_components
 

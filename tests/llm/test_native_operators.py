@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from toolcorpus.llm.chat_format import conversation_events, fold_events, format_chats, read_back
-from toolcorpus.llm.exact_dedup import exact_dedup
+from toolcorpus.llm.common import materialize
+from toolcorpus.llm.exact_dedup import exact_dedup, exchange
 from toolcorpus.llm.line_dedup import line_dedup
 from toolcorpus.llm.mixing import mix_sources, poisson_count, source_rates
 
@@ -41,6 +42,16 @@ def test_chat_round_trip_with_control_strings_nulls_ties_and_long_texts(frame):
     assert back[None]["loss_texts"] == ["q"] and back[2]["loss_texts"] == []
 
 
+def test_message_identifiers_follow_from_the_rows_alone(frame):
+    rows = [(1, 0, "user", "same", i) for i in range(300)] + [(1, 0, "user", t, 0) for t in ("", None, "é" * 100_000)]
+    df = frame(rows, "conv_id long, turn long, role string, text string, message_id long")
+    one, many = (conversation_events(df.repartition(n)).select("message_id", "seq", "text") for n in (1, 7))
+    assert one.exceptAll(many).count() == many.exceptAll(one).count() == 0
+    assert one.select("message_id").distinct().count() == 303
+    back = read_back(format_chats(conversation_events(df))).first()
+    assert sorted(t["text"] for t in back["turns"]) == sorted(t or "" for _, _, _, t, _ in rows)
+
+
 def test_empty_tables_give_no_rows(frame, docs):
     none = docs([]).limit(0)
     assert exact_dedup(none).count() == line_dedup(none).count() == mix_sources(none).count() == 0
@@ -63,6 +74,22 @@ def test_exact_dedup_matches_plain_groups(docs, runs, fan_in):
     assert {r["doc_id"] for r in got if r["kept"]} == {r["keep_id"] for r in got}
 
 
+def test_runs_meet_in_pairs_and_are_merged_in_order(spark, docs):
+    level = spark.createDataFrame([(r, d, 0, 1, (-r, False, r, r), 1) for r in range(8) for d in ("a", "b", f"own{r}")],
+                                  "run int, digest string, check long, n_bytes int, "
+                                  "best struct<neg:int,absent:boolean,doc_id:long,row:long>, n long")
+    for left in (4, 2, 1):
+        level = exchange(materialize(level, "level"), 2)
+        plan = level._jdf.queryExecution().executedPlan().toString()
+        # One exchange by ranges of digests and one sort: the aggregate takes the merged runs as they come.
+        assert plan.count("Exchange rangepartitioning(digest") == 1 and "hashpartitioning" not in plan
+        assert plan.count("Sort [") == 1 and "SortAggregate" in plan
+        rows = level.collect()
+        assert {r["run"] for r in rows} == set(range(left)) and len(rows) == 2 * left + 8
+        assert {(r["run"], r["best"]["doc_id"], r["n"]) for r in rows if r["digest"] == "a"} == {
+            (i, (i + 1) * 8 // left - 1, 8 // left) for i in range(left)}
+
+
 def test_exact_dedup_keeps_one_of_repeated_rows_and_puts_null_identifiers_last(docs):
     got = exact_dedup(docs([(1, "a"), (1, "a"), (None, "a"), (None, "b"), (None, "b")])).collect()
     assert Counter((r["doc_id"], r["kept"]) for r in got) == {(1, True): 1, (1, False): 1, (None, False): 2, (None, True): 1}
