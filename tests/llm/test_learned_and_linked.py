@@ -258,7 +258,8 @@ def test_fluent_prose_of_other_words_is_told_apart_by_ngrams_and_the_threshold_i
     x = np.array([features(t) for _, t, _ in texts])
     y = np.array([y for _, _, y in texts])
     model = train(x[y == 1][:50], x[y == 0][:50], 0.5, 2 << GRAM_BITS)
-    moved = with_threshold(model, docs, labels, "doc_id", "text", "quality")
+    strengths = frame([(i, float(v)) for (i, _, _), v in zip(texts, model.strength(x))], "doc_id long, s double")
+    moved = with_threshold(model, strengths, labels, "doc_id", "quality")
     assert abs(moved.threshold - np.quantile(model.strength(x), 0.5, method="inverted_cdf")) < 1e-9
 
 

@@ -79,12 +79,9 @@ class Ranking:
     def strength(self, x: np.ndarray) -> np.ndarray:
         return (hinges(x, self.knots) - self.mean) / self.scale @ self.weights
 
-    def beats(self, strength: np.ndarray) -> np.ndarray:
-        """Probability that a text of this strength is preferred to one at the threshold."""
-        return 1 / (1 + np.exp(-np.clip(strength - self.threshold, -500, 500)))
-
     def score(self, x: np.ndarray) -> np.ndarray:
-        return self.beats(self.strength(x))
+        """Probability that the text is preferred to one at the threshold."""
+        return 1 / (1 + np.exp(-np.clip(self.strength(x) - self.threshold, -500, 500)))
 
 
 def hinges(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
@@ -95,10 +92,10 @@ def hinges(x: np.ndarray, knots: np.ndarray) -> np.ndarray:
 
 def pair_gradient(h: np.ndarray, w: np.ndarray, up: np.ndarray, down: np.ndarray) -> np.ndarray:
     """Gradient of the mean of ``log(1 + exp(-(h[up] - h[down]) w))`` and of the decay: the pairs are summed by row first."""
-    s = h @ w
+    s = (h @ w.astype(h.dtype)).astype(np.float64)
     pull = -1 / (1 + np.exp(np.clip(s[up] - s[down], -500, 500))) / len(up)
     rows = np.bincount(up, pull, len(h)) - np.bincount(down, pull, len(h))
-    return h.T @ rows + DECAY * w
+    return h.T @ rows.astype(h.dtype) + DECAY * w
 
 
 def train(good: np.ndarray, bad: np.ndarray, good_share: float, n_grams: int = 0, seed: int = 13) -> Ranking:
@@ -109,13 +106,15 @@ def train(good: np.ndarray, bad: np.ndarray, good_share: float, n_grams: int = 0
     """
     x = np.concatenate([good, bad])
     plain = x.shape[1] - n_grams
-    knots = np.quantile(x[:, :plain], np.linspace(0.02, 0.98, KNOTS), axis=0)
+    knots = np.quantile(x[:, :plain], np.linspace(0.02, 0.98, KNOTS), axis=0).astype(x.dtype)
     h = hinges(x, knots)
+    del x
     mean, scale = h.mean(0), h.std(0)
     if n_grams:
         scale[plain:plain + n_grams] = math.sqrt(float((scale[plain:plain + n_grams] ** 2).sum()) / (plain * GRAM_SHARE))
     scale[scale < 1e-9] = 1.0
-    h = (h - mean) / scale
+    h -= mean
+    h /= scale
     rng = np.random.default_rng(seed)
     up, down = rng.integers(len(good), size=PAIRS), len(good) + rng.integers(len(bad), size=PAIRS)
     w, m, v = np.zeros(h.shape[1]), np.zeros(h.shape[1]), np.zeros(h.shape[1])
@@ -163,31 +162,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     drawn = known.where(hash_unit("quality", F.col("id")) < share).limit(4 * per_class)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     drawn = texts.join(F.broadcast(drawn), "id")
-    # Repeated rows or labels make more rows of one draw, so each class is bounded once more, by a hash.
-    order = hash_unit("quality-row", F.col("id"), F.md5(F.col("t")))
-    rows = [drawn.where(F.col("y") == y).orderBy(order).limit(2 * per_class).select("y", described(F.col("t")).alias("x")) for y in (0, 1)]
-    rows = rows[0].union(rows[1]).collect()
-    good, bad = (np.array([np.frombuffer(r["x"], np.float32) for r in rows if r["y"] == y], np.float64) for y in (1, 0))
-    if not len(good) or not len(bad):
+    # Texts are described where they are read. Repeated rows or labels make more rows of one draw, so each class is bounded once more.
+    drawn = drawn.select("y", described(F.col("t")).alias("x"), hash_unit("quality-row", F.col("id"), F.md5(F.col("t"))).alias("at"))
+    sample = {y: sorted(bytes(r["x"]) for r in drawn.where(F.col("y") == y).orderBy("at", "x").limit(2 * per_class).collect())
+              for y in (0, 1)}
+    if not sample[0] or not sample[1]:
         return None
-    order = lambda a: a[np.lexsort(a.T)]  # noqa: E731  the sample's row order does not matter
-    return train(order(good), order(bad), counts[1] / (counts[0] + counts[1]), 2 << GRAM_BITS)
-
-
-def with_threshold(model: Ranking, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Ranking:
-    """``model`` with its threshold at the quantile of the strengths of all labelled texts that leaves the share of label 1 above it."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"))
+    good, bad = (np.array([np.frombuffer(x, np.float32) for x in sample.pop(y)]) for y in (1, 0))
+    return train(good, bad, counts[1] / (counts[0] + counts[1]), 2 << GRAM_BITS)
 
-    @F.pandas_udf("double")
-    def strength(texts: pd.Series) -> pd.Series:
-        return pd.Series(strengths_of(model, texts))
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
-    strengths = materialize(texts.join(known, "id").select("y", strength(F.col("t")).alias("s")), "strengths")
-    share = strengths.agg(F.avg("y").alias("share")).first()["share"]
+def with_threshold(model: Ranking, strengths: DataFrame, labels: DataFrame, id_col: str, label_col: str) -> Ranking:
+    """``model`` with its threshold at the quantile of ``strengths (doc_id, s)`` of all labelled texts that leaves the share of label 1 above it."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("doc_id"), F.col(label_col).alias("y"))
+    labelled = strengths.join(known, "doc_id").select("y", "s")
+    share = labelled.agg(F.avg("y").alias("share")).first()["share"]
     if share is None:
         return model
-    at = strengths.agg(F.percentile_approx("s", F.lit(1.0 - float(share)), F.lit(100_000)).alias("t")).first()["t"]
+    at = labelled.agg(F.percentile_approx("s", F.lit(1.0 - float(share)), F.lit(100_000)).alias("t")).first()["t"]
     return replace(model, threshold=float(at))
 
 
@@ -208,15 +201,16 @@ def rank_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """
     kept = labels.where(~held_out(F.col(id_col), 3, 1))
     model = fit(docs, kept, id_col, text_col, label_col)
-    if model is not None:
-        model = with_threshold(model, docs, kept, id_col, text_col, label_col)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        if model is None or not len(texts):
-            return pd.Series(np.full(len(texts), 0.5))
-        return pd.Series(model.beats(strengths_of(model, texts)))
-
-    out = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col), 3, 1).alias("held_out"),
-                      score(F.col(text_col)).alias("score"))
+    known = [F.col(id_col).alias("doc_id"), held_out(F.col(id_col), 3, 1).alias("held_out")]
+    if model is None:
+        out = docs.select(*known, F.lit(0.5).alias("score"))
+    else:
+        @F.pandas_udf("double")
+        def strength(texts: pd.Series) -> pd.Series:
+            return pd.Series(strengths_of(model, texts))
+
+        # Every text is described once; the threshold and the scores are taken from the narrow table of strengths.
+        strengths = materialize(docs.select(*known, strength(F.col(text_col)).alias("s")), "strengths")
+        at = with_threshold(model, strengths, kept, id_col, label_col).threshold
+        out = strengths.select("doc_id", "held_out", (1 / (1 + F.exp(F.least(F.lit(at) - F.col("s"), F.lit(500.0))))).alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
