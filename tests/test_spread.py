@@ -56,3 +56,23 @@ def test_only_a_small_side_is_marked_for_broadcast(spark):
 
 def test_no_events_give_no_rows(spark, tmp_path):
     assert FX.eval_rows(spark, _events(spark, tmp_path, 0, ["view"])).count() == 0
+
+
+def test_rows_are_dealt_before_joins_to_small_tools_and_after_others(spark, tmp_path, monkeypatch):
+    """One split is dealt by one task: what it deals is to be as narrow as the table."""
+    sf, dealt = _events(spark, tmp_path, 300, ["view", "click", None]), []
+
+    def noted(df, rows):
+        dealt.append(df.columns)
+        return spread(df, rows)
+
+    monkeypatch.setattr(FX, "spread", noted)
+    found = []
+    for most in (BROADCAST_MAX_BYTES, 0):
+        monkeypatch.setattr(FX, "BROADCAST_MAX_BYTES", most, raising=False)
+        monkeypatch.setattr("toolcorpus.operators.joins.BROADCAST_MAX_BYTES", most)
+        for source in (FX.eval_rows, FX.pair_input):
+            found.append(sorted(map(tuple, source(spark, sf).collect()), key=repr))
+    assert [("allowed_functions" in c) for c in dealt] == [False, False, True, True]
+    assert len(found[0]) == 3 * 200 and len(found[1]) == 200
+    assert found[:2] == found[2:]
